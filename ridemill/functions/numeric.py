@@ -1,4 +1,4 @@
-"""Arithmetic expressions with the reference semantics spelled out."""
+"""Arithmetic expressions whose rounding and division rules are spelled out."""
 
 from __future__ import annotations
 
