@@ -20,24 +20,59 @@ def _odd(value: float) -> int:
     return whole if whole % 2 else whole + 1
 
 
-def smooth(y: np.ndarray, span: int, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Local linear fits of the rows of ``y`` (one series each) at positions ``at``."""
-    n = y.shape[1]
+def _moments(n: int, span: int, at: np.ndarray) -> np.ndarray:
+    """Tricube weights times offset powers 0..2 of the ``span`` points nearest each target."""
     q = min(span, n)
-    start = np.clip(at - (q - 1) // 2, 0, n - q).astype(int)
-    near = start[:, None] + np.arange(q)
-    distance = np.abs(near - at[:, None])
-    reach = distance.max(axis=1, keepdims=True) + max(span - n, 0) // 2
-    tricube = np.where(distance <= 0.999 * reach, (1 - (distance / np.maximum(reach, 1)) ** 3) ** 3, 0.0)
-    w = np.where(distance <= 0.001 * reach, 1.0, tricube) * weights[:, near]
-    total = w.sum(axis=2)
-    w = w / np.where(total > 0, total, 1.0)[:, :, None]
-    centre = (w * near).sum(axis=2)
-    offset = near - centre[:, :, None]
-    spread = (w * offset ** 2).sum(axis=2)
-    slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - centre) / np.where(spread > 0, spread, 1.0), 0.0)
-    fit = (w * y[:, near] * (1 + slope[:, :, None] * offset)).sum(axis=2)
-    return np.where(total > 0, fit, np.nan)
+    start = np.clip(at - (q - 1) // 2, 0, n - q)[:, None]
+    points = np.arange(n)
+    offset = points - at[:, None]
+    inside = (points >= start) & (points < start + q)
+    reach = np.abs(np.where(inside, offset, 0)).max(axis=1, keepdims=True) + max(span - n, 0) // 2
+    near = np.minimum(np.abs(offset) / np.maximum(reach, 1), 1)
+    weight = np.where(near <= 0.001, 1.0, np.where(near <= 0.999, (1 - near ** 3) ** 3, 0.0)) * inside
+    return np.stack([weight, weight * offset, weight * offset ** 2])
+
+
+def _line(rho: np.ndarray, y: np.ndarray, extent: int) -> np.ndarray:
+    """Weighted straight-line fit at offset 0 from moments of weights (3) and values (2)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        centre, mean = rho[1] / rho[0], y[0] / rho[0]
+        spread = rho[2] / rho[0] - centre ** 2
+        slope = (y[1] / rho[0] - centre * mean) / spread
+        return np.where(spread > (0.001 * extent) ** 2, mean - slope * centre, mean)
+
+
+def smooth_rows(moments: np.ndarray, y: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """LOESS of every row of ``y`` at the targets ``moments`` was made for."""
+    weights = np.einsum("ptn,bn->pbt", moments, rho)
+    values = np.einsum("ptn,bn->pbt", moments[:2], rho * y)
+    return _line(weights, values, y.shape[1] - 1)
+
+
+def long_kernels(n: int, span: int) -> tuple[np.ndarray, ...]:
+    """Moments for one long series: both ends, and the kernel shared by all points between."""
+    if n <= 2 * span:
+        return (_moments(n, span, np.arange(float(n))),)
+    half = (span - 1) // 2
+    left = _moments(span, span, np.arange(float(half)))
+    middle = _moments(span, span, np.array([float(half)]))[:, 0]
+    right = _moments(span, span, np.arange(half + 1.0, span))
+    return left, middle, right
+
+
+def smooth_long(kernels: tuple[np.ndarray, ...], y: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """LOESS of one series at all its points; the interior is a convolution."""
+    if len(kernels) == 1:
+        return smooth_rows(kernels[0], y[None], rho[None])[0]
+    left, middle, right = kernels
+    span, extent = len(middle[0]), len(y) - 1
+
+    def ends(moments: np.ndarray, part: slice) -> np.ndarray:
+        return _line(moments @ rho[part], moments[:2] @ (rho * y)[part], extent)
+
+    weights = np.stack([np.correlate(rho, k, "valid") for k in middle])
+    values = np.stack([np.correlate(rho * y, k, "valid") for k in middle[:2]])
+    return np.concatenate([ends(left, slice(0, span)), _line(weights, values, extent), ends(right, slice(-span, None))])
 
 
 def _mean(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,35 +80,37 @@ def _mean(x: np.ndarray, width: int) -> np.ndarray:
     return (total[width:] - total[:-width]) / width
 
 
-def _seasonal(detrended: np.ndarray, rho: np.ndarray, period: int) -> np.ndarray:
-    """Smoothed cycle-subseries, each extended by one cycle at both ends."""
-    n = len(detrended)
-    out = np.empty(n + 2 * period)
-    full = n // period
-    for length, phases in ((full + 1, np.arange(n - full * period)), (full, np.arange(n - full * period, period))):
+def _subseries(n: int, period: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, extended positions, moments) of the long and the short cycle-subseries."""
+    full, groups = n // period, []
+    split = n - full * period
+    for length, phases in ((full + 1, np.arange(split)), (full, np.arange(split, period))):
         if len(phases):
             rows = phases[:, None] + period * np.arange(length)
-            at = np.arange(-1.0, length + 1)
-            fit = smooth(detrended[rows], SEASONAL_SPAN, rho[rows], at)
-            known = smooth(detrended[rows], SEASONAL_SPAN, np.ones_like(rho[rows]), at)
-            out[phases[:, None] + period * np.arange(length + 2)] = np.where(np.isnan(fit), known, fit)
-    return out
+            wide = phases[:, None] + period * np.arange(length + 2)
+            groups.append((rows, wide, _moments(length, SEASONAL_SPAN, np.arange(-1.0, length + 1))))
+    return groups
 
 
 def stl(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
     """(trend, seasonal) with bisquare robustness weights."""
-    n, every = len(y), np.arange(float(len(y)))
-    trend_span = _odd(1.5 * period / (1 - 1.5 / SEASONAL_SPAN))
-    low_span = _odd(period + 1)
-    rho, trend, seasonal = np.ones(n), np.zeros(n), np.zeros(n)
-    one = np.ones((1, n))
+    n = len(y)
+    groups = _subseries(n, period)
+    trend_kernels = long_kernels(n, _odd(1.5 * period / (1 - 1.5 / SEASONAL_SPAN)))
+    low_kernels = long_kernels(n, _odd(period + 1))
+    one, rho, trend, seasonal = np.ones(n), np.ones(n), np.zeros(n), np.zeros(n)
+    cycle = np.empty(n + 2 * period)
     for _ in range(OUTER + 1):
         for _ in range(INNER):
-            cycle = _seasonal(y - trend, rho, period)
+            detrended = y - trend
+            for rows, wide, moments in groups:
+                fit = smooth_rows(moments, detrended[rows], rho[rows])
+                plain = smooth_rows(moments, detrended[rows], one[rows])
+                cycle[wide] = np.where(np.isfinite(fit), fit, plain)
             low = _mean(_mean(_mean(cycle, period), period), 3)
-            seasonal = cycle[period:period + n] - smooth(low[None], low_span, one, every)[0]
-            fit = smooth((y - seasonal)[None], trend_span, rho[None], every)[0]
-            trend = np.where(np.isnan(fit), trend, fit)
+            seasonal = cycle[period:period + n] - smooth_long(low_kernels, low, one)
+            fit = smooth_long(trend_kernels, y - seasonal, rho)
+            trend = np.where(np.isfinite(fit), fit, trend)
         size = np.abs(y - trend - seasonal)
         limit = 6 * np.median(size)
         if limit <= 0:
@@ -85,7 +122,11 @@ def stl(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
 
 def decompose_loess(filled: DataFrame, period: int = 365, series: str = "series", ds: str = "ds", y: str = "y",
                     short_period: int = 7) -> DataFrame:
-    """Robust LOESS decomposition of gap-filled daily series; short ones use weekly seasons."""
+    """Robust LOESS decomposition of gap-filled daily series; short ones use weekly seasons.
+
+    The explicit repartition keeps AQE from packing many small series, each seconds of
+    work, into one task.
+    """
     key_type = filled.schema[series].dataType.simpleString()
 
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,6 +140,7 @@ def decompose_loess(filled: DataFrame, period: int = 365, series: str = "series"
         return pdf.assign(period=chosen, trend=trend, seasonal=seasonal, residual=values - trend - seasonal)
 
     columns = filled.select(F.col(series).alias("series"), F.col(ds).alias("ds"), F.col(y).cast("double").alias("original"))
-    return columns.groupBy("series").applyInPandas(
+    tasks = int(filled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return columns.repartition(tasks, "series").groupBy("series").applyInPandas(
         one_series,
-        f"series {key_type}, ds date, period int, original double, trend double, seasonal double, residual double")
+        f"series {key_type}, ds date, original double, period int, trend double, seasonal double, residual double")
