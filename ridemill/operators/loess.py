@@ -104,13 +104,14 @@ def stl(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
         for _ in range(INNER):
             detrended = y - trend
             for rows, wide, moments in groups:
-                fit = smooth_rows(moments, detrended[rows], rho[rows])
-                plain = smooth_rows(moments, detrended[rows], one[rows])
-                cycle[wide] = np.where(np.isfinite(fit), fit, plain)
+                own = detrended[rows]
+                fit = smooth_rows(moments, own, rho[rows])
+                # where robustness leaves no weight nearby a point stands for itself
+                cycle[wide] = np.where(np.isfinite(fit), fit, np.pad(own, ((0, 0), (1, 1)), "edge"))
             low = _mean(_mean(_mean(cycle, period), period), 3)
             seasonal = cycle[period:period + n] - smooth_long(low_kernels, low, one)
             fit = smooth_long(trend_kernels, y - seasonal, rho)
-            trend = np.where(np.isfinite(fit), fit, trend)
+            trend = np.where(np.isfinite(fit), fit, y - seasonal)
         size = np.abs(y - trend - seasonal)
         limit = 6 * np.median(size)
         if limit <= 0:

@@ -50,7 +50,8 @@ class Warehouse:
 
     @property
     def daily(self) -> DataFrame:
-        return self.spark.read.schema(S.DAILY).parquet(self.path(DAILY))
+        stored = self.spark.read.schema(S.DAILY).parquet(self.path(DAILY))
+        return stored.select(*S.DAILY.fieldNames())  # partition columns are stored last
 
     @property
     def monthly(self) -> DataFrame:
