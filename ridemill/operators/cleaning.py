@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridemill import schema as S
@@ -74,12 +74,14 @@ def flag_outliers(
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first by ``order``; NULL keys are equal to each other.
 
-    ``min_by`` is combined map-side, so a key that holds a large part of all rows sends
-    one row per input partition across the shuffle.
+    ``row_number() = 1`` is planned with a group limit on both sides of the shuffle, so a
+    key that holds a large part of all rows sends one row per input partition. The
+    leading hash makes both sorts compare a long instead of several strings.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*[F.col(o) for o in order]))
-    return df.groupBy(*keys).agg(first.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    first = Window.partitionBy("_hash", *keys).orderBy(*order)
+    return (df.withColumn("_hash", F.xxhash64(*keys))
+            .withColumn("_rank", F.row_number().over(first))
+            .filter(F.col("_rank") == 1).drop("_hash", "_rank"))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridemill import schema as S
 from ridemill.functions.numeric import chi2_tail_even, sql_round
+from ridemill.session import stage
 
 
 def _ape(actual: Column, predicted: Column) -> Column:
@@ -73,7 +74,7 @@ def verdict(mape: Column, good: float = S.MAPE_GOOD, acceptable: float = S.MAPE_
 def diagnostics(fc: DataFrame, start: dt.date = S.COVID_START, end: dt.date = S.COVID_END, note_series: str = "TREN",
                 series: str = "series", ds: str = "ds") -> DataFrame:
     """One row per series from fitted history rows (series, ds, actual, yhat)."""
-    rows = fc.filter(F.col("actual").isNotNull() & F.col("yhat").isNotNull())
+    rows = stage(fc.filter(F.col("actual").isNotNull() & F.col("yhat").isNotNull()), "fitted")
     span = rows.groupBy(series).agg(
         F.count("*").alias("n_train"), F.min(ds).alias("train_start"), F.max(ds).alias("train_end"))
     table = (span.join(forecast_errors(rows, series), series)

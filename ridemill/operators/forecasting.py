@@ -22,6 +22,7 @@ from ridemill import schema as S
 from ridemill.functions.numeric import momentum, month_number, sql_round, window_flag
 from ridemill.operators.calendars import asof_cumsum, break_dates, macro_shock
 from ridemill.operators.regression import dot
+from ridemill.session import stage
 from ridemill.sources.historical import on_or_after_start
 
 BAND_Z = 1.2815515655446004  # two-sided 80 %
@@ -177,6 +178,7 @@ def forecast(monthly: DataFrame, hikes: DataFrame, events: DataFrame, horizon: i
     history = training_rows(monthly, starts, default_start, series=series, ds=ds)
     features = forecast_features(future_spine(history, horizon, series, ds, y), hikes, events, breaks, special,
                                  reopening, series, ds, y)
+    features = stage(features, "features")  # read by the fit and by the prediction
     fit = fit_ridge(features, len(breaks), flexibility, default_flexibility, series, y)
     return predict(features, fit, len(breaks), series, ds, y)
 

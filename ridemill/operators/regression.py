@@ -19,6 +19,7 @@ from ridemill import schema as S
 from ridemill.functions import tails
 from ridemill.functions.numeric import stars, window_flag
 from ridemill.operators.calendars import cumulative_hike_pct
+from ridemill.session import stage
 
 FEATURES = ["const", "t", "D", "t_post", "covid", *[f"m_{m}" for m in range(2, 13)]]
 LEVEL, SLOPE = FEATURES.index("D"), FEATURES.index("t_post")
@@ -208,8 +209,10 @@ def its_analysis(monthly: DataFrame, hikes: DataFrame, treatment: dt.date = S.TR
 
     ``monthly`` holds (series, ds, y) already clipped to each series' training start.
     """
-    features = enough_after(its_features(monthly, treatment, special, series, ds), series=series)
-    inference = its_inference(features, its_fit(features, series, y), hac_series, series=series, ds=ds, y=y)
+    # both are read several times below, and the input may be a scan of the whole fact
+    features = stage(enough_after(its_features(monthly, treatment, special, series, ds), series=series), "features")
+    fit = stage(its_fit(features, series, y), "fit")
+    inference = its_inference(features, fit, hac_series, series=series, ds=ds, y=y)
     return its_effect(inference, hikes, after, until)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridemill import schema as S
 from ridemill.functions.numeric import month_floor, percent
+from ridemill.session import stage
 
 
 def trusted(daily: DataFrame, flag: str = "is_suspicious") -> DataFrame:
@@ -132,6 +133,7 @@ def heatmap_pivot(by_mode: DataFrame, modes: Sequence[str], start: dt.date | Non
 
 def kpis(by_mode: DataFrame, ds: str = "fecha", key: str = "modo", value: str = "cantidad_usos") -> DataFrame:
     """Grand total, peak day and its total, mean daily total, largest mode (ties: first)."""
+    by_mode = stage(by_mode.select(ds, key, value), "by-mode")  # days × modes, read three times
     per_day = by_mode.groupBy(ds).agg(F.sum(value).alias("v"))
     days = per_day.agg(
         F.sum("v").alias("total"),

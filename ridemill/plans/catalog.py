@@ -229,21 +229,36 @@ def _features(wh: T.Warehouse) -> DataFrame:
     return X.its_features(T.monthly_series(wh), T.TREATMENT, T.SPECIAL)
 
 
-def _inference(wh: T.Warehouse, hac: list[str] | None) -> DataFrame:
-    features = X.enough_after(_features(wh))
-    return X.its_inference(features, X.its_fit(features), hac)
+def _fitted(wh: T.Warehouse) -> tuple[DataFrame, DataFrame]:
+    features = stage(X.enough_after(_features(wh)), "features")
+    return features, stage(X.its_fit(features), "fit")
+
+
+@query
+def its_fit(spark: SparkSession, sf: str) -> DataFrame:
+    _, fit = _fitted(T.warehouse(spark, sf))
+    names = F.array(*[F.lit(n) for n in X.FEATURES])
+    return fit.select("series", "rank", F.posexplode(F.arrays_zip("beta", names.alias("term"))).alias("position", "c")).select(
+        "series", "rank", "c.term", "c.beta")
+
+
+@query
+def its_hac(spark: SparkSession, sf: str) -> DataFrame:
+    return X.its_inference(*_fitted(T.warehouse(spark, sf)), None)
+
+
+@query
+def counterfactual(spark: SparkSession, sf: str) -> DataFrame:
+    return X.counterfactual(*_fitted(T.warehouse(spark, sf)))
+
+
+@query
+def its_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    features, fit = _fitted(T.warehouse(spark, sf))
+    return X.its_metrics(X.counterfactual(features, fit), X.its_inference(features, fit, ["2-HIGH", "3-MEDIUM"]))
 
 
 wh_query("its_features", _features)
-wh_query("its_fit", lambda wh: X.its_fit(X.enough_after(_features(wh))).select(
-    "series", "rank", F.posexplode("beta").alias("position", "beta")).withColumn(
-    "term", F.element_at(F.array(*[F.lit(n) for n in X.FEATURES]), F.col("position") + 1)).drop("position"))
-wh_query("its_hac", lambda wh: _inference(wh, None))
-wh_query("counterfactual", lambda wh: X.counterfactual(
-    X.enough_after(_features(wh)), X.its_fit(X.enough_after(_features(wh)))))
-wh_query("its_metrics", lambda wh: X.its_metrics(
-    X.counterfactual(X.enough_after(_features(wh)), X.its_fit(X.enough_after(_features(wh)))),
-    _inference(wh, ["2-HIGH", "3-MEDIUM"])))
 
 
 @query
@@ -276,7 +291,7 @@ def _naive(wh: T.Warehouse) -> DataFrame:
 
 
 def _verdicts(wh: T.Warehouse) -> DataFrame:
-    rows = _naive(wh)
+    rows = stage(_naive(wh), "naive")
     table = (G.forecast_errors(rows).join(G.errors_by_period(rows, *T.SPECIAL), "series")
              .join(G.ljung_box(G.residuals_after(rows, T.SPECIAL[1])), "series"))
     return table.withColumn("verdict", G.verdict(F.coalesce("mape_post", "mape"), 12.0, 20.0))
