@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ridemill import schema as S
 from ridemill.functions import parsing as P
 from ridemill.session import stage
+from ridemill.sources.delimited import position
 
+POSITION = "_position"
 DAILY_KEY = ["fecha", "modo", "nombre_empresa", "linea"]
 
 
@@ -28,13 +30,19 @@ def add_date_parts(df: DataFrame, ds: str = "fecha") -> DataFrame:
 
 
 def parse_daily(raw: DataFrame) -> DataFrame:
-    """Text rows to typed rows; rows without a readable date or count are dropped."""
-    typed = raw.withColumns({
-        "fecha": P.parse_date(F.col("fecha")),
-        "modo": P.clean_text(F.col("modo")),
-        "cantidad_usos": P.parse_count(F.col("cantidad_usos")),
-    })
-    typed = normalize_text(typed, list(S.ENRICHMENT_DEFAULTS))
+    """Scanned text rows to typed rows with their file position; rows without a readable
+    date or count are dropped.
+
+    Position and parsing share one projection: being non-deterministic it cannot be
+    passed by the filter, which would otherwise repeat all parsing below it.
+    """
+    text = [c for c in S.ENRICHMENT_DEFAULTS if c in raw.columns]
+    typed = raw.select(
+        P.parse_date(F.col("fecha")).alias("fecha"),
+        P.clean_text(F.col("modo")).alias("modo"),
+        P.parse_count(F.col("cantidad_usos")).alias("cantidad_usos"),
+        *[P.clean_text(F.col(c)).alias(c) for c in text],
+        "source_file", position().alias(POSITION))
     return add_date_parts(typed.filter(F.col("fecha").isNotNull() & F.col("cantidad_usos").isNotNull()))
 
 

@@ -156,10 +156,15 @@ def latest_share(monthly: DataFrame, modes: Sequence[str], key: str = "modo") ->
 
 
 def profile(daily: DataFrame, ds: str = "fecha", key: str = "modo", file: str = "source_file") -> DataFrame:
-    """Row, file and mode counts and the date range, in one pass."""
-    return daily.agg(
-        F.count("*").alias("n_rows"), F.countDistinct(file).alias("n_files"),
-        F.min(ds).alias("first_day"), F.max(ds).alias("last_day"),
+    """Row, file and mode counts and the date range.
+
+    Reduced to (file, mode) groups first, so that the two distinct counts do not multiply
+    the rows of the fact.
+    """
+    groups = daily.groupBy(file, key).agg(F.count("*").alias("n"), F.min(ds).alias("a"), F.max(ds).alias("z"))
+    return groups.agg(
+        F.sum("n").alias("n_rows"), F.countDistinct(file).alias("n_files"),
+        F.min("a").alias("first_day"), F.max("z").alias("last_day"),
         F.countDistinct(key).alias("n_modes"))
 
 

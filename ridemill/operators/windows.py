@@ -36,6 +36,11 @@ def daily_selected(by_mode: DataFrame, modes: Sequence[str], start: dt.date, end
         F.col(key).isin(*modes) & F.col(ds).between(F.lit(start), F.lit(end)) & ~new_year)
 
 
+def in_period(df: DataFrame, start: dt.date, end: dt.date, ds: str = "month_start") -> DataFrame:
+    """Rows of a closed date range; on stored tables the range reaches the Parquet scan."""
+    return df.filter(F.col(ds).between(F.lit(start), F.lit(end)))
+
+
 def rolling_by_mode(selected: DataFrame, ds: str = "fecha", key: str = "modo",
                     value: str = "cantidad_usos", rows: int = 7) -> DataFrame:
     return selected.select(ds, key, value, trailing_mean(value, ds, rows, [key]).alias("ma"))

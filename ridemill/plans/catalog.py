@@ -21,7 +21,7 @@ from ridemill.operators import rollups as R
 from ridemill.operators import series as Z
 from ridemill.operators import windows as W
 from ridemill.plans import testdata as T
-from ridemill.session import fresh_path, stage
+from ridemill.session import fresh_path, spread, stage
 from ridemill.sources import daily as SD
 from ridemill.sources import dimensions as D
 from ridemill.sources import historical as H
@@ -121,6 +121,12 @@ wh_query("series_junction", lambda wh: W.series_junction(
     R.daily_by_mode(wh.daily, T.MODES3).filter(F.col("fecha") >= F.lit(T.CUT)), dt.date(1997, 1, 2)))
 
 
+wh_query("period_index", lambda wh: B.index_to_baseline(
+    W.in_period(wh.monthly_read(), *T.SPECIAL), T.SPECIAL[0]).select("month_start", "modo", "total_usos", "index_val"))
+wh_query("yoy_period", lambda wh: W.in_period(R.in_modes(W.yoy(wh.monthly), T.MODES3), *T.SPECIAL).filter(
+    F.col("yoy_pct_change").isNotNull()).select("month_start", "modo", "yoy_pct_change"))
+
+
 @query
 def series_gaps(spark: SparkSession, sf: str) -> DataFrame:
     months = T.read(spark, sf, "orders").select(
@@ -238,18 +244,26 @@ def _fitted(wh: T.Warehouse) -> tuple[DataFrame, DataFrame]:
 def its_fit(spark: SparkSession, sf: str) -> DataFrame:
     _, fit = _fitted(T.warehouse(spark, sf))
     names = F.array(*[F.lit(n) for n in X.FEATURES])
-    return fit.select("series", "rank", F.posexplode(F.arrays_zip("beta", names.alias("term"))).alias("position", "c")).select(
-        "series", "rank", "c.term", "c.beta")
+    terms = F.explode(F.arrays_zip(F.col("beta").alias("beta"), names.alias("term"))).alias("c")
+    return rounded(fit.select("series", terms).select("series", "c.term", "c.beta"), 4, "beta")
 
 
 @query
 def its_hac(spark: SparkSession, sf: str) -> DataFrame:
-    return X.its_inference(*_fitted(T.warehouse(spark, sf)), None)
+    """Robust standard errors of the level and slope terms of every series."""
+    out = X.its_inference(*_fitted(T.warehouse(spark, sf)), None)
+    columns = ["beta_level", "beta_level_se", "beta_slope", "beta_slope_se"]
+    return rounded(out.select("series", "n_obs", *columns), 4, *columns)
+
+
+@query
+def its_inference(spark: SparkSession, sf: str) -> DataFrame:
+    return X.its_inference(*_fitted(T.warehouse(spark, sf)), ["2-HIGH", "3-MEDIUM"])
 
 
 @query
 def counterfactual(spark: SparkSession, sf: str) -> DataFrame:
-    return X.counterfactual(*_fitted(T.warehouse(spark, sf)))
+    return rounded(X.counterfactual(*_fitted(T.warehouse(spark, sf))), 4, "fitted", "counterfactual", "gap")
 
 
 @query
@@ -319,7 +333,7 @@ def flag_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.read(spark, sf, "lineitem")
+    rows = spread(T.read(spark, sf, "lineitem"), "l_orderkey")
     keys = ["l_orderkey", "l_linenumber"]
     order = [c for c in rows.columns if c not in keys]
     return C.keep_first(rows, keys, order).withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
@@ -369,7 +383,7 @@ def parse_quantity(spark: SparkSession, sf: str) -> DataFrame:
     text = (F.when(F.col("l_returnflag") == "A", F.concat(F.lit("n/d "), F.lower("l_linestatus")))
             .when(F.col("l_returnflag") == "N", _grouped(n, "."))
             .otherwise(F.concat(F.lit("$ "), _grouped(n, ","))))
-    return (T.read(spark, sf, "lineitem")
+    return (spread(T.read(spark, sf, "lineitem"), "l_orderkey")
             .select("l_orderkey", "l_linenumber", P.parse_count(text).alias("quantity"))
             .filter(F.col("quantity").isNotNull()))
 
@@ -439,7 +453,7 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
 def scan_all(spark: SparkSession, sf: str) -> DataFrame:
     folder = _export_daily(spark, sf)
     parsed = stage(C.parse_daily(SD.scan_all(spark, folder, "*/*.csv")), "parsed")
-    fact = C.clean_daily(parsed, ["_position"])
+    fact = C.clean_daily(parsed, [C.POSITION])
     return fact.groupBy("fecha", "modo", F.initcap("nombre_empresa").alias("_op")).agg(
         F.count("*").alias("n_rows"), F.sum("cantidad_usos").alias("total")).select(
         "fecha", "modo", F.when(F.col("_op") == "Unknown", "UNKNOWN").otherwise(F.col("_op")).alias("nombre_empresa"),

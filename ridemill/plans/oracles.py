@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+from ridemill.operators.regression import FEATURES
 from ridemill.plans import testdata as T
 
 
@@ -22,9 +23,12 @@ def _in(items) -> str:
 
 
 M3 = _in(T.MODES3)
+K = len(FEATURES)
+LAGGED_L = " + ".join(f"(1 - {k} / 13.0) * COALESCE(LAG(ul, {k}) OVER w, 0)" for k in range(1, 13))
+LAGGED_S = " + ".join(f"(1 - {k} / 13.0) * COALESCE(LAG(us, {k}) OVER w, 0)" for k in range(1, 13))
 
 PRELUDE = f"""
-WITH rows_in AS (
+WITH RECURSIVE rows_in AS (
   SELECT CAST(l_shipdate AS DATE) AS fecha,
          CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
          CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week,
@@ -170,7 +174,40 @@ autocorrelation AS (
 verdicts AS (
   SELECT e.series, mape, mape_post, lb_pvalue < 0.05 AS autocorrelated,
          CASE WHEN COALESCE(mape_post, mape) <= 12 THEN 'good' WHEN COALESCE(mape_post, mape) <= 20 THEN 'acceptable' ELSE 'poor' END AS verdict
-  FROM errors e JOIN period_errors p ON e.series = p.series JOIN autocorrelation a ON e.series = a.series)
+  FROM errors e JOIN period_errors p ON e.series = p.series JOIN autocorrelation a ON e.series = a.series),
+segmented AS (
+  SELECT series, ds, y, m, t, CAST(D AS INTEGER) AS D, covid,
+         CAST(CASE WHEN D THEN t - MIN(CASE WHEN D THEN t END) OVER (PARTITION BY series) ELSE 0 END AS INTEGER) AS t_post
+  FROM (SELECT modo AS series, month_start AS ds, total_usos AS y, month AS m,
+          CAST(ROW_NUMBER() OVER (PARTITION BY modo ORDER BY month_start) - 1 AS INTEGER) AS t, month_start >= DATE '{T.TREATMENT}' AS D,
+          CAST(month_start BETWEEN DATE '{T.SPECIAL[0]}' AND DATE '{T.SPECIAL[1]}' AS INTEGER) AS covid FROM monthly)),
+design AS (
+  SELECT series, ds, t, D, t_post, CAST(y AS DOUBLE) AS y,
+         CAST([1, t, D, t_post, covid, {", ".join(f"(m = {m})::INT" for m in range(2, 13))}] AS DOUBLE[]) AS x FROM segmented),
+system AS (  -- per series the rows of [XtX | Xty | I]
+  SELECT series, [{", ".join("[" + ", ".join([f"SUM(x[{i}] * x[{j}])" for j in range(1, K + 1)] + [f"SUM(x[{i}] * y)"] + [f"{float(i == j)}::DOUBLE" for j in range(1, K + 1)]) + "]" for i in range(1, K + 1))}] AS m
+  FROM design GROUP BY series HAVING SUM(D) >= 6),
+elimination(series, k, m) AS (
+  SELECT series, 1, m FROM system UNION ALL
+  SELECT series, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k
+           THEN list_transform(r, lambda v: v / m[k][k])
+           ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)
+  FROM elimination WHERE k <= {K}),
+solved AS (
+  SELECT series, list_transform(m, lambda r: r[{K + 1}]) AS beta, m[3][{K + 2}:] AS inv_level, m[4][{K + 2}:] AS inv_slope
+  FROM elimination WHERE k = {K + 1}),
+projected AS (
+  SELECT d.*, beta, list_dot_product(beta, x) AS fitted, y - list_dot_product(beta, x) AS e, inv_level, inv_slope
+  FROM design d JOIN solved s ON d.series = s.series),
+scores AS (
+  SELECT series, t, e, beta, list_dot_product(inv_level, x) * e AS ul, list_dot_product(inv_slope, x) * e AS us FROM projected),
+lag_scores AS (
+  SELECT *, {LAGGED_L} AS cl, {LAGGED_S} AS cs FROM scores WINDOW w AS (PARTITION BY series ORDER BY t)),
+robust AS (
+  SELECT series, COUNT(*) AS n_obs, ANY_VALUE(beta[3]) AS beta_level, ANY_VALUE(beta[4]) AS beta_slope,
+         SQRT(SUM(ul * (ul + 2 * cl)) * COUNT(*) / (COUNT(*) - {K})) AS beta_level_se,
+         SQRT(SUM(us * (us + 2 * cs)) * COUNT(*) / (COUNT(*) - {K})) AS beta_slope_se
+  FROM lag_scores GROUP BY series)
 """
 
 SQL: dict[str, str] = {
@@ -331,12 +368,24 @@ SELECT series, COUNT(*) FILTER (is_anomaly) AS n_anomalies, COUNT(*) FILTER (is_
     "anomaly_table": """
 SELECT series, ds, ROUND(z_score, 4) AS z_score, event_label FROM anomaly WHERE is_anomaly ORDER BY ABS(anomaly.z_score) DESC, series, ds""",
     "its_features": f"""
-SELECT series, ds, y, t, CAST(D AS INTEGER) AS "D",
-       CAST(CASE WHEN D THEN t - MIN(CASE WHEN D THEN t END) OVER (PARTITION BY series) ELSE 0 END AS INTEGER) AS t_post, covid,
-       {", ".join(f"CAST(m = {m} AS INTEGER) AS m_{m}" for m in range(2, 13))}
-FROM (SELECT modo AS series, month_start AS ds, total_usos AS y, month AS m,
-        CAST(ROW_NUMBER() OVER (PARTITION BY modo ORDER BY month_start) - 1 AS INTEGER) AS t, month_start >= DATE '{T.TREATMENT}' AS D,
-        CAST(month_start BETWEEN DATE '{T.SPECIAL[0]}' AND DATE '{T.SPECIAL[1]}' AS INTEGER) AS covid FROM monthly)""",
+SELECT series, ds, y, t, D AS "D", t_post, covid, {", ".join(f"CAST(m = {m} AS INTEGER) AS m_{m}" for m in range(2, 13))} FROM segmented""",
+    "its_fit": f"""
+SELECT series, UNNEST([{", ".join(f"'{n}'" for n in FEATURES)}]) AS term, UNNEST(list_transform(beta, lambda b: ROUND(b, 4))) AS beta FROM solved""",
+    "its_hac": """
+SELECT series, n_obs, ROUND(beta_level, 4) AS beta_level, ROUND(beta_level_se, 4) AS beta_level_se,
+       ROUND(beta_slope, 4) AS beta_slope, ROUND(beta_slope_se, 4) AS beta_slope_se FROM robust""",
+    "counterfactual": """
+SELECT series, ds, y AS actual, ROUND(fitted, 4) AS fitted, ROUND(fitted - beta[3] * D - beta[4] * t_post, 4) AS counterfactual,
+       D AS post, ROUND(y - (fitted - beta[3] * D - beta[4] * t_post), 4) AS gap FROM projected""",
+    "period_index": f"""
+SELECT c.month_start, c.modo, c.total_usos, CAST(c.total_usos AS DOUBLE) / b.total_usos * 100 AS index_val
+FROM monthly c JOIN monthly b ON b.modo = c.modo AND b.month_start = DATE '{T.SPECIAL[0]}'
+WHERE c.modo IN {M3} AND c.month_start BETWEEN DATE '{T.SPECIAL[0]}' AND DATE '{T.SPECIAL[1]}'""",
+    "yoy_period": f"""
+SELECT * FROM (SELECT month_start, modo,
+  ROUND(100.0 * (total_usos - LAG(total_usos) OVER w) / NULLIF(LAG(total_usos) OVER w, 0), 2) AS yoy_pct_change
+  FROM monthly WINDOW w AS (PARTITION BY month, modo ORDER BY year))
+WHERE yoy_pct_change IS NOT NULL AND modo IN {M3} AND month_start BETWEEN DATE '{T.SPECIAL[0]}' AND DATE '{T.SPECIAL[1]}'""",
     "forecast_summary": """
 SELECT a.series, last_actual, mean_forecast, ROUND((mean_forecast - baseline) / baseline * 100, 1) AS pct_change,
        CASE WHEN (mean_forecast - baseline) / baseline * 100 > 5 THEN 'up' WHEN (mean_forecast - baseline) / baseline * 100 < -5 THEN 'down' ELSE 'flat' END AS direction
@@ -412,6 +461,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _attach(statement: str) -> str:
     body = statement.strip()
-    if body.upper().startswith("WITH "):
+    if body.upper().startswith("WITH "):  # further expressions join the shared ones
         return PRELUDE.rstrip() + ",\n" + body[5:]
     return PRELUDE + body

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ridemill.operators import cleaning as C
 from ridemill.plans.warehouse import Warehouse
-from ridemill.session import fresh_path, stage
+from ridemill.session import fresh_path, spread, stage
 from ridemill.sources import dimensions as D
 from ridemill.sources import historical as H
 
@@ -84,7 +84,7 @@ def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     region = F.col("r_name")
     rows = (
-        read(spark, sf_dir, "lineitem")
+        spread(read(spark, sf_dir, "lineitem"), "l_orderkey")
         .join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))

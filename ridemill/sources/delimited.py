@@ -16,18 +16,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-BOM = "﻿"
-FILE, POSITION = "source_file", "_position"
+FILE, BLOCK = "source_file", "_block"
 
 
 @dataclass(frozen=True)
 class Header:
     path: str
     line: str
+    is_utf8: bool
     separator: str
     columns: tuple[str, ...]
 
@@ -39,9 +38,8 @@ def list_files(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
 
 
 def decoded(value: Column) -> Column:
-    latin = F.decode(value.cast("binary"), "ISO-8859-1")
-    text = F.when(F.is_valid_utf8(value), value).otherwise(latin)
-    return F.regexp_replace(text, f"^{BOM}|\r$", "")
+    """The line as text. The reader has already removed line ends and a byte-order mark."""
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
 
 
 def pick_separator(line: str, separators: Sequence[str]) -> str:
@@ -62,13 +60,13 @@ def read_header(
     separators: Sequence[str] = (",", ";"),
     choose: Callable[[str, Sequence[str]], str] = pick_separator,
 ) -> Header:
-    row = (spark.read.text(path).select(decoded(F.col("value")).alias("line"))
-           .filter(F.trim("line") != "").first())
+    row = (spark.read.text(path).filter(F.trim("value") != "")
+           .select(decoded(F.col("value")).alias("line"), F.is_valid_utf8("value").alias("is_utf8")).first())
     if row is None:
         raise ValueError(f"{path}: empty file")
     sep = choose(row.line, separators)
     names = next(csv.reader([row.line], delimiter=sep))
-    return Header(path, row.line, sep, tuple(n.strip().lower() for n in names))
+    return Header(path, row.line, row.is_utf8, sep, tuple(n.strip().lower() for n in names))
 
 
 def read_headers(spark: SparkSession, paths: Sequence[str], **options) -> list[Header]:
@@ -86,30 +84,29 @@ def read_headers(spark: SparkSession, paths: Sequence[str], **options) -> list[H
 
 def read_rows(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:
     """One scan of files that share a header line: all columns as text, plus the file
-    name and a position that sorts in file order."""
+    name and the offset of the file block a row comes from."""
     head = headers[0]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(head.columns))])
+    fields = [f"c{i} string" for i in range(len(head.columns))]
+    # compared before decoding where possible: a filter on decoded text would decode twice
+    value = F.col("value") if head.is_utf8 else decoded(F.col("value"))
     lines = (
         spark.read.text([h.path for h in headers])
-        .select(
-            decoded(F.col("value")).alias("line"),
-            F.col("_metadata.file_name").alias(FILE),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias(POSITION),
-        )
-        .filter((F.trim("line") != "") & (F.col("line") != F.lit(head.line)))
+        .filter((F.trim("value") != "") & (value != F.lit(head.line)))
+        .select(decoded(F.col("value")).alias("line"), F.col("_metadata.file_name").alias(FILE),
+                F.col("_metadata.file_block_start").alias(BLOCK))
     )
-    parsed = F.from_csv(F.col("line"), schema.simpleString().removeprefix("struct<")
-                        .removesuffix(">").replace(":", " "), {"sep": head.separator})
-    return (lines.select(parsed.alias("r"), FILE, POSITION)
-            .select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(head.columns)],
-                    FILE, POSITION))
+    parsed = F.from_csv(F.col("line"), ", ".join(fields), {"sep": head.separator})
+    return (lines.select(parsed.alias("r"), FILE, BLOCK)
+            .select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(head.columns)], FILE, BLOCK))
+
+
+def position() -> Column:
+    """Sorts rows of a file in file order; valid until the first shuffle after the scan."""
+    return F.struct(F.col(BLOCK).alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def by_header(headers: Sequence[Header]) -> list[list[Header]]:
-    groups: dict[str, list[Header]] = {}
+    groups: dict[tuple[str, bool], list[Header]] = {}
     for header in headers:
-        groups.setdefault(header.line, []).append(header)
+        groups.setdefault((header.line, header.is_utf8), []).append(header)
     return list(groups.values())

@@ -79,12 +79,12 @@ def parse_source_a(raw: DataFrame) -> DataFrame:
 
 def read_source_a(spark: SparkSession, path: str) -> DataFrame:
     header = D.read_header(spark, path, choose=D.dominant_separator)
-    return parse_source_a(D.read_rows(spark, [header]).drop(D.FILE, D.POSITION))
+    return parse_source_a(D.read_rows(spark, [header]).drop(D.FILE, D.BLOCK))
 
 
 def read_source_b(spark: SparkSession, path: str, aggregate: bool = False) -> DataFrame:
     header = D.read_header(spark, path, separators=(";",))
-    return parse_source_b(D.read_rows(spark, [header]).drop(D.FILE, D.POSITION), aggregate)
+    return parse_source_b(D.read_rows(spark, [header]).drop(D.FILE, D.BLOCK), aggregate)
 
 
 def merge_prefer(preferred: DataFrame, other: DataFrame, month: str = "month_start", key: str = "modo") -> DataFrame:

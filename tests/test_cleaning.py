@@ -7,7 +7,6 @@ from ridemill.functions import parsing as P
 from ridemill.operators import cleaning as C
 from ridemill.session import stage
 from ridemill.sources import daily as SD
-from ridemill.sources.delimited import POSITION
 
 FULL = (
     "dia_transporte,nombre_empresa,linea,amba,tipo_transporte,jurisdiccion,provincia,municipio,cantidad_usos,dato_preliminar\n"
@@ -25,7 +24,7 @@ def write(folder, name, text, encoding="utf-8"):
 
 def clean(spark, *paths):
     parsed = stage(C.parse_daily(SD.scan_paths(spark, list(paths))), "parsed")
-    return C.clean_daily(parsed, [POSITION])
+    return C.clean_daily(parsed, [C.POSITION])
 
 
 def test_full_layout(spark, tmp_path, rows):
