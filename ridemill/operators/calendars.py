@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridemill import schema as S
+from ridemill.session import stage
 
 # Label prefixes per language.
 PREFIXES = {
@@ -66,7 +67,8 @@ def running_by_date(points: DataFrame, ds: str, dim: DataFrame, dim_date: str, *
 
     Points and dimension are first reduced to one row per date, so the unpartitioned
     window sees at most the days of the calendar whatever the size of the facts. No
-    range join is involved.
+    range join is involved. The result is staged: its measured size, not an estimate
+    inherited from the facts, then decides how it is joined to them.
     """
     steps = dim.groupBy(F.col(dim_date).alias("date")).agg(
         *[F.sum(amount).alias(name) for name, amount in amounts.items()])
@@ -74,7 +76,7 @@ def running_by_date(points: DataFrame, ds: str, dim: DataFrame, dim_date: str, *
     both = dates.join(steps, "date", "full_outer")
     so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     running = [F.sum(F.coalesce(name, F.lit(0))).over(so_far).alias(name) for name in amounts]
-    return both.select("date", "wanted", *running).filter("wanted").drop("wanted")
+    return stage(both.select("date", "wanted", *running).filter("wanted").drop("wanted"), "running")
 
 
 def asof_cumsum(df: DataFrame, dim: DataFrame, ds: str = "ds", dim_date: str = "date", amount: str = "magnitude",

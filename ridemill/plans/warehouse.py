@@ -6,6 +6,7 @@ temporary views, so ad-hoc SQL and the functions of this package see the same na
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,10 +79,10 @@ class Warehouse:
         self.build_rollups()
 
     def build_rollups(self) -> None:
-        """Each rollup is one column-pruned scan of the stored fact."""
-        write_table(R.monthly_rollup(self.daily), self.path(MONTHLY))
-        write_table(R.monthly_by_province(self.daily), self.path(PROVINCE))
-        write_table(R.operator_totals(self.daily), self.path(OPERATORS))
+        """Each rollup is one column-pruned scan of the stored fact; the jobs run side by side."""
+        jobs = [(R.monthly_rollup, MONTHLY), (R.monthly_by_province, PROVINCE), (R.operator_totals, OPERATORS)]
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            list(pool.map(lambda job: write_table(job[0](self.daily), self.path(job[1])), jobs))
 
     def load_historical(self, historical: DataFrame) -> DataFrame:
         """Store the historical table; returns the gaps longer than two months."""
