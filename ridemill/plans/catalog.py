@@ -402,7 +402,7 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     text = _by_priority(
         F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "M/d/yyyy"), F.date_format(day, "yyyyMMdd"),
         F.date_format(day, "yyyy-MM-dd HH:mm:ss"), F.date_format(day, "d MMM yyyy"))
-    return (T.read(spark, sf, "orders").select("o_orderkey", P.parse_date(text).alias("fecha"))
+    return (spread(T.read(spark, sf, "orders"), "o_orderkey").select("o_orderkey", P.parse_date(text).alias("fecha"))
             .filter(F.col("fecha").isNotNull()))
 
 
@@ -413,7 +413,7 @@ def parse_period(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format(day, "yyyyMM"), F.date_format(day, "yyyy-M"), F.date_format(day, "MM/yyyy"),
         F.date_format(day, "MMM-yyyy"),
         F.when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy/MM")).otherwise(F.date_format(day, "MMMM-yyyy")))
-    return (T.read(spark, sf, "orders").select("o_orderkey", P.parse_period(text).alias("month_start"))
+    return (spread(T.read(spark, sf, "orders"), "o_orderkey").select("o_orderkey", P.parse_period(text).alias("month_start"))
             .filter(F.col("month_start").isNotNull()))
 
 
