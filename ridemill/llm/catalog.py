@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridemill.llm import packing, repair, simhash, token_counts
+from ridemill.llm import decontaminate, langid, packing, repair, simhash, token_counts
 from ridemill.session import fresh_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keys=("doc_id", "held_out"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "token-ids")
     repair.write_files(read(spark, sf_dir, "documents"), out, TOKENIZER, end_id=2)
@@ -38,6 +48,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op5_token_id_output, op9_best_fit_packing, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_benchmark_decontamination, op5_token_id_output, op9_best_fit_packing, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
