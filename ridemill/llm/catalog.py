@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridemill.llm import decontaminate, langid, packing, repair, simhash, token_counts
-from ridemill.session import fresh_path
+from ridemill.llm import chat, decontaminate, langid, packing, repair, secret_scan, simhash, token_counts
+from ridemill.session import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keys=("doc_id", "held_out"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("bigint"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    return chat.digests(stage(chat.format_turns(turns.union(probe)), "chats"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), similarity=0.8)
 
@@ -39,6 +45,12 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(spark, out, repair.crc32, "ids_crc32", "bigint")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, capacity=1024, end_id=2)
 
@@ -48,6 +60,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_benchmark_decontamination, op5_token_id_output, op9_best_fit_packing, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op7_secret_scan, op9_best_fit_packing, op10_token_counts)
 }
-ORACLES: dict[str, str] = {}
+
+
+def _chat_sql() -> str:
+    """The same digests in SQL, with the template's escapes as nested replacements."""
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '\\', '\\\\')"
+        for control in chat.CONTROL:
+            out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+        return out
+
+    fixed = sum(map(len, (chat.START, chat.MIDDLE, chat.END)))
+    return f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = '{chat.LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{chat.LOSS_ROLE}'), '')) AS loss_sha256,
+        CAST(sum({fixed} + length(replace({escaped("role")}, chr(10), '\\n')) + length({escaped("text")})) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id"""
+
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": _chat_sql()}
