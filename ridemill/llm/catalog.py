@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridemill.llm import chat, decontaminate, langid, packing, repair, secret_scan, simhash, token_counts
+from ridemill.llm import ann, chat, decontaminate, langid, packing, repair, secret_scan, simhash, token_counts
 from ridemill.session import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, capacity=1024, end_id=2)
 
@@ -60,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op7_secret_scan, op9_best_fit_packing, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts)
 }
 
 
