@@ -1,20 +1,52 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing."""
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing.
+
+Each stage takes all rows that the one before kept. All but the last return the columns of
+``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridemill.llm import catalog, packing, simhash
+from ridemill.llm import catalog, decontaminate, langid, packing, secret_scan, simhash
 from ridemill.session import fresh_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MARK = "[SECRET]"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found go: null texts and texts without a letter.
+
+    The model learns from the rows that op2 may learn from. A null or wrong ``lang`` stays as
+    it is: a document is judged by its text alone.
+    """
+    model = langid.train(docs.where(~langid.held_out()))
+    if not model.languages:  # nothing to learn from: only the lack of letters can be told
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs.select(*COLUMNS, F.col("text").alias("__read")), model, text="__read", keys=tuple(COLUMNS))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    return simhash.keep_one(docs, shingle=3, seed=42)
+    return simhash.keep_one(docs.select(*COLUMNS), shingle=3, seed=42)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, at similarity 0.8 or more, go."""
+    return decontaminate.clean(docs.select(*COLUMNS), catalog.read(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays, and n_chars follows a changed text."""
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    cleaned = secret_scan.redact(docs.select(*COLUMNS, F.length("text").alias("__before")), model, mark=MARK)
+    changed = F.coalesce(F.length("text") != F.col("__before"), F.lit(False))
+    return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +55,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
     ("best_fit_packing", best_fit_packing),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # trained models, fingerprints, alignments and a tokenizer are not SQL; tests hold it against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridemill.llm import ann, chat, decontaminate, langid, packing, repair, secret_scan, simhash, token_counts
+from ridemill.llm import ann, chat, decontaminate, kneser_ney, langid, packing, repair, secret_scan, simhash, token_counts
 from ridemill.session import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,11 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_files(spark, out, repair.crc32, "ids_crc32", "bigint")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.quality(read(spark, sf_dir, "documents"), trusted)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     found = secret_scan.scan(read(spark, sf_dir, "documents"), model)
@@ -64,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op6_quality_classifier, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts)
 }
 
 
