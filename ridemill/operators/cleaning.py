@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ridemill import schema as S
 from ridemill.functions import parsing as P
 from ridemill.session import stage
-from ridemill.sources.delimited import position
+from ridemill.sources.delimited import FILE, PATH, position
 
 POSITION = "_position"
 DAILY_KEY = ["fecha", "modo", "nombre_empresa", "linea"]
@@ -42,7 +42,7 @@ def parse_daily(raw: DataFrame) -> DataFrame:
         P.clean_text(F.col("modo")).alias("modo"),
         P.parse_count(F.col("cantidad_usos")).alias("cantidad_usos"),
         *[P.clean_text(F.col(c)).alias(c) for c in text],
-        "source_file", position().alias(POSITION))
+        FILE, *([PATH] if PATH in raw.columns else []), position().alias(POSITION))
     return add_date_parts(typed.filter(F.col("fecha").isNotNull() & F.col("cantidad_usos").isNotNull()))
 
 
@@ -92,8 +92,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
             .filter(F.col("_rank") == 1).drop("_hash", "_rank"))
 
 
-def with_defaults(df: DataFrame) -> DataFrame:
-    """The declared daily schema: absent or NULL enrichment gets its default, types are cast."""
+def with_defaults(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The declared daily schema: absent or NULL enrichment gets its default, types are cast. ``keep``: further columns."""
     columns = []
     for field in S.DAILY:
         default = S.ENRICHMENT_DEFAULTS.get(field.name)
@@ -104,7 +104,12 @@ def with_defaults(df: DataFrame) -> DataFrame:
         else:
             c = F.lit(default)
         columns.append(c.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *keep)
+
+
+def _file(df: DataFrame) -> str:
+    """What tells files apart: the full path where it is known, since two folders may hold the same name."""
+    return PATH if PATH in df.columns else FILE
 
 
 def clean_files(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -113,9 +118,9 @@ def clean_files(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
     Outlier statistics are per file and mode and come before de-duplication.
     """
     keys = [k for k in DAILY_KEY if k in parsed.columns]
-    flagged = flag_outliers(parsed).withColumn(
+    flagged = flag_outliers(parsed, keys=(_file(parsed), "modo")).withColumn(
         "is_suspicious", zero_on_weekday() | F.col("is_outlier")).drop("is_outlier")
-    return keep_first(flagged, ["source_file", *keys], order)
+    return keep_first(flagged, [_file(parsed), *keys], order)
 
 
 def clean_daily(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -126,6 +131,6 @@ def clean_daily(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
     ``parsed`` is read twice (statistics, then flags): pass a staged table.
     """
     keys = [k for k in DAILY_KEY if k in parsed.columns]
-    flagged = flag_outliers(parsed).withColumn(
+    flagged = flag_outliers(parsed, keys=(_file(parsed), "modo")).withColumn(
         "is_suspicious", zero_on_weekday() | F.col("is_outlier")).drop("is_outlier")
-    return with_defaults(keep_first(flagged, keys, ["source_file", *order]))
+    return with_defaults(keep_first(flagged, keys, [*dict.fromkeys([FILE, _file(parsed)]), *order]))

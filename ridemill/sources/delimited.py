@@ -1,9 +1,9 @@
 """Delimited text of unknown dialect: separator, encoding and header found per file.
 
-The files are read as splittable text lines. Encoding is settled per line (a line that
-is not valid UTF-8 is Latin-1), so no file has to be pre-scanned as a whole; only each
-file's first line is looked at to find separator and header. Files sharing a header
-line are read in one scan.
+One job over all files finds each file's header line and whether a quoted field goes on
+over several lines. Files sharing a header line are then read in one scan: as splittable
+text lines whose encoding is settled per line (a line that is not valid UTF-8 is Latin-1),
+or, where records span lines, whole by the CSV reader.
 """
 
 from __future__ import annotations
@@ -11,15 +11,16 @@ from __future__ import annotations
 import csv
 import logging
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-FILE, BLOCK = "source_file", "_block"
+FILE, PATH, BLOCK = "source_file", "_path", "_block"
 
 
 @dataclass(frozen=True)
@@ -29,12 +30,18 @@ class Header:
     is_utf8: bool
     separator: str
     columns: tuple[str, ...]
+    spans_lines: bool = False
 
 
 def list_files(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """Path, length and modification time of the matching files; contents are not read."""
     return (spark.read.format("binaryFile").load(pattern)
-            .select("path", "length", "modificationTime"))
+            .select(F.col("_metadata.file_path").alias("path"), "length", "modificationTime"))
+
+
+def readable(path: str) -> str:
+    """A path as readers take it, from the escaped form of file metadata."""
+    return unquote(path)
 
 
 def decoded(value: Column) -> Column:
@@ -54,50 +61,70 @@ def dominant_separator(line: str, separators: Sequence[str] = (",", ";")) -> str
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def read_header(
+def read_headers(
     spark: SparkSession,
-    path: str,
+    paths: Sequence[str],
     separators: Sequence[str] = (",", ";"),
     choose: Callable[[str, Sequence[str]], str] = pick_separator,
-) -> Header:
-    row = (spark.read.text(path).filter(F.trim("value") != "")
-           .select(decoded(F.col("value")).alias("line"), F.is_valid_utf8("value").alias("is_utf8")).first())
-    if row is None:
-        raise ValueError(f"{path}: empty file")
-    sep = choose(row.line, separators)
-    names = next(csv.reader([row.line], delimiter=sep))
-    return Header(path, row.line, row.is_utf8, sep, tuple(n.strip().lower() for n in names))
-
-
-def read_headers(spark: SparkSession, paths: Sequence[str], **options) -> list[Header]:
-    """Headers of all readable files; a file whose header cannot be split is skipped."""
-    def attempt(path: str) -> Header | None:
+    strict: bool = False,
+) -> list[Header]:
+    """Headers of all files under ``paths`` that have a line, in path order, by one job.
+
+    A file whose header cannot be split is skipped, or an error if ``strict``. A line with
+    an odd number of quotes marks a file whose records span lines.
+    """
+    value = F.col("value")
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), "value")
+    quotes = F.length(decoded(value)) - F.length(F.replace(decoded(value), F.lit('"'), F.lit("")))
+    found = lines.filter(F.trim(value) != "").groupBy("path").agg(
+        F.min_by(F.struct(decoded(value).alias("line"), F.is_valid_utf8(value).alias("is_utf8")), F.struct("block", "row")).alias("head"),
+        F.bool_or(quotes % 2 == 1).alias("spans_lines"), F.bool_and(F.is_valid_utf8(value)).alias("all_utf8"))
+    headers = []
+    for row in found.orderBy("path").collect():  # one row per file, as the file listing itself
         try:
-            return read_header(spark, path, **options)
+            sep = choose(row["head"]["line"], separators)
         except ValueError as error:
-            log.warning("skipping %s: %s", path, error)
-            return None
+            if strict:
+                raise
+            log.warning("skipping %s: %s", row["path"], error)
+            continue
+        names = next(csv.reader([row["head"]["line"]], delimiter=sep))
+        headers.append(Header(readable(row["path"]), row["head"]["line"], row["all_utf8"] if row["spans_lines"] else row["head"]["is_utf8"],
+                              sep, tuple(n.strip().lower() for n in names), row["spans_lines"]))
+    if strict and not headers:
+        raise ValueError(f"{list(paths)}: no line to read")
+    return headers
+
 
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        return [h for h in pool.map(attempt, paths) if h is not None]
+def _identity() -> list[Column]:
+    return [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_path").alias(PATH)]
 
 
 def read_rows(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:
-    """One scan of files that share a header line: all columns as text, plus the file
-    name and the offset of the file block a row comes from."""
-    head = headers[0]
-    fields = [f"c{i} string" for i in range(len(head.columns))]
+    """One scan of files that share a header line: all columns as text, plus the file's
+    name and path and the offset of the file block a row comes from."""
+    head, paths = headers[0], [h.path for h in headers]
+    fields = ", ".join(f"c{i} string" for i in range(len(head.columns)))
+    options = {"sep": head.separator, "escape": '"'}
+    named = [F.col(f"r.c{i}").alias(name) for i, name in enumerate(head.columns)]
+    if head.spans_lines:
+        whole = spark.read.options(**options, header=True, multiLine=True, encoding="UTF-8" if head.is_utf8 else "ISO-8859-1").schema(fields).csv(paths)
+        return whole.select(F.struct(*whole.columns).alias("r"), *_identity(), F.lit(0).cast("bigint").alias(BLOCK)).select(*named, FILE, PATH, BLOCK)
     # compared before decoding where possible: a filter on decoded text would decode twice
     value = F.col("value") if head.is_utf8 else decoded(F.col("value"))
     lines = (
-        spark.read.text([h.path for h in headers])
+        spark.read.text(paths)
         .filter((F.trim("value") != "") & (value != F.lit(head.line)))
-        .select(decoded(F.col("value")).alias("line"), F.col("_metadata.file_name").alias(FILE),
-                F.col("_metadata.file_block_start").alias(BLOCK))
+        .select(decoded(F.col("value")).alias("line"), *_identity(), F.col("_metadata.file_block_start").alias(BLOCK))
     )
-    parsed = F.from_csv(F.col("line"), ", ".join(fields), {"sep": head.separator})
-    return (lines.select(parsed.alias("r"), FILE, BLOCK)
-            .select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(head.columns)], FILE, BLOCK))
+    return lines.select(F.from_csv(F.col("line"), fields, options).alias("r"), FILE, PATH, BLOCK).select(*named, FILE, PATH, BLOCK)
+
+
+def read_files(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:
+    """All rows of files with the same columns, one scan per group of equal header lines."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_rows(spark, group) for group in by_header(headers)])
 
 
 def position() -> Column:
@@ -106,7 +133,7 @@ def position() -> Column:
 
 
 def by_header(headers: Sequence[Header]) -> list[list[Header]]:
-    groups: dict[tuple[str, bool], list[Header]] = {}
+    groups: dict[tuple[str, bool, bool], list[Header]] = {}
     for header in headers:
-        groups.setdefault((header.line, header.is_utf8), []).append(header)
+        groups.setdefault((header.line, header.is_utf8, header.spans_lines), []).append(header)
     return list(groups.values())

@@ -78,13 +78,13 @@ def parse_source_a(raw: DataFrame) -> DataFrame:
 
 
 def read_source_a(spark: SparkSession, path: str) -> DataFrame:
-    header = D.read_header(spark, path, choose=D.dominant_separator)
-    return parse_source_a(D.read_rows(spark, [header]).drop(D.FILE, D.BLOCK))
+    headers = D.read_headers(spark, [path], choose=D.dominant_separator, strict=True)
+    return parse_source_a(D.read_files(spark, headers).drop(D.FILE, D.PATH, D.BLOCK))
 
 
 def read_source_b(spark: SparkSession, path: str, aggregate: bool = False) -> DataFrame:
-    header = D.read_header(spark, path, separators=(";",))
-    return parse_source_b(D.read_rows(spark, [header]).drop(D.FILE, D.BLOCK), aggregate)
+    headers = D.read_headers(spark, [path], separators=(";",), strict=True)
+    return parse_source_b(D.read_files(spark, headers).drop(D.FILE, D.PATH, D.BLOCK), aggregate)
 
 
 def merge_prefer(preferred: DataFrame, other: DataFrame, month: str = "month_start", key: str = "modo") -> DataFrame:
