@@ -14,7 +14,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1.0 / max(1 - (a + b) * x / (a + 1), tiny)
     h = d
-    for m in range(1, 300):
+    for m in range(1, 100_000):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + top * d
@@ -23,8 +23,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the incomplete beta function at {a}, {b}, {x} does not converge")
 
 
 def student_p(t: float, df: float) -> float:

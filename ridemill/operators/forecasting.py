@@ -27,7 +27,6 @@ from ridemill.sources.historical import on_or_after_start
 
 BAND_Z = 1.2815515655446004  # two-sided 80 %
 BASE_PENALTY, HINGE_NOISE = 1e-6, 0.0025
-MAX_BREAKS = 200
 MONTH_LENGTH = 365.25 / 12
 
 
@@ -60,10 +59,14 @@ def _standard(c: Column, history: Column, whole) -> Column:
     return F.coalesce(z, F.lit(0.0))
 
 
-def forecast_features(spine: DataFrame, hikes: DataFrame, events: DataFrame, breaks: Sequence[dt.date],
+def forecast_features(spine: DataFrame, hikes: DataFrame, events: DataFrame, breaks: DataFrame,
                       special: tuple[dt.date, dt.date], reopening: dt.date, series: str = "series", ds: str = "ds",
                       y: str = "y") -> DataFrame:
-    """The regressor array ``x`` and the per-series constants used to predict."""
+    """The regressor array ``x`` and the per-series constants used to predict.
+
+    ``breaks`` (date) are few rows of calendar dimensions, at most one per day; they travel
+    as one ascending array, and each gives one hinge at the end of ``x``.
+    """
     rows = asof_cumsum(spine, hikes, ds)
     rows = rows.withColumns({
         "macro_shock": macro_shock(F.col(ds), events),
@@ -81,31 +84,31 @@ def forecast_features(spine: DataFrame, hikes: DataFrame, events: DataFrame, bre
     })
     span = F.greatest(F.datediff("_last", "_first"), F.lit(1)).cast("double")
 
-    def hinge(day: dt.date) -> Column:
-        inside = (F.lit(day) >= F.col("_first")) & (F.lit(day) < F.col("_last"))
-        return F.when(inside, F.greatest(F.datediff(F.col(ds), F.lit(day)), F.lit(0)) / span).otherwise(0.0)
+    dates = breaks.agg(F.array_sort(F.collect_set(F.col("date").cast("date")))).scalar()
+
+    def hinge(day: Column) -> Column:
+        inside = (day >= F.col("_first")) & (day < F.col("_last"))
+        return F.when(inside, F.greatest(F.datediff(F.col(ds), day), F.lit(0)) / span).otherwise(F.lit(0.0))
 
     x = [F.lit(1.0), F.datediff(ds, "_first") / span, F.col("covid_impact"), F.col("macro_shock"),
          F.col("_fare"), F.col("_momentum"),
-         *[(F.month(ds) == m).cast("int") for m in range(2, 13)],
-         *[hinge(day) for day in breaks]]
-    return rows.withColumns({
-        "x": F.array(*[c.cast("double") for c in x]),
+         *[(F.month(ds) == m).cast("int") for m in range(2, 13)]]
+    return rows.withColumn("_breaks", dates).withColumns({
+        "x": F.concat(F.array(*[c.cast("double") for c in x]), F.transform("_breaks", lambda day: hinge(day).cast("double"))),
         # a series with empty months is lifted so that its logarithm exists
         "_shift": F.when(F.col("_low") <= 0, 1 - F.col("_low")).otherwise(0.0),
         "_steps": F.greatest(month_number(F.col(ds)) - month_number(F.col("_last")), F.lit(0)),
         "_months": span / MONTH_LENGTH,
-    })
+    }).drop("_breaks")
 
 
 HINGES_FROM = 17
 
 
-def fit_ridge(features: DataFrame, n_breaks: int, flexibility: dict[str, float], default_flexibility: float,
+def fit_ridge(features: DataFrame, flexibility: dict[str, float], default_flexibility: float,
               series: str = "series", y: str = "y") -> DataFrame:
     """(series, beta, noise, drift): coefficients, residual variance and the variance one
     more break adds per squared month."""
-    k = HINGES_FROM + n_breaks
     scale = F.lit(float(default_flexibility))
     for name, value in flexibility.items():
         scale = F.when(F.col(series) == name, F.lit(float(value))).otherwise(scale)
@@ -115,7 +118,7 @@ def fit_ridge(features: DataFrame, n_breaks: int, flexibility: dict[str, float],
 
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
         x, z = np.stack(pdf["x"].to_list()), pdf["z"].to_numpy()
-        penalty = np.full(k, BASE_PENALTY)
+        penalty = np.full(x.shape[1], BASE_PENALTY)
         penalty[0] = 0.0
         penalty[HINGES_FROM:] = HINGE_NOISE / pdf["scale"].iloc[0] ** 2
         gram = x.T @ x
@@ -134,13 +137,13 @@ def fit_ridge(features: DataFrame, n_breaks: int, flexibility: dict[str, float],
     return fitted.withColumnRenamed("series", series)
 
 
-def predict(features: DataFrame, fit: DataFrame, n_breaks: int, series: str = "series", ds: str = "ds", y: str = "y") -> DataFrame:
+def predict(features: DataFrame, fit: DataFrame, series: str = "series", ds: str = "ds", y: str = "y") -> DataFrame:
     """Point forecast, 80 % band and trend; only future rows are held above the floor."""
     rows = features.join(fit, series)
     eta = dot(F.col("beta"), F.col("x"))
     trend = F.col("beta")[0] + F.col("beta")[1] * F.col("x")[1]
-    if n_breaks:
-        trend = trend + dot(F.slice("beta", HINGES_FROM + 1, n_breaks), F.slice("x", HINGES_FROM + 1, n_breaks))
+    hinges = [F.slice(c, F.lit(HINGES_FROM + 1), F.size("x") - HINGES_FROM) for c in ("beta", "x")]
+    trend = trend + dot(*hinges)
     h = F.col("_steps")
     spread = F.sqrt(F.col("noise") + F.col("drift") * h * (h + 1) * (2 * h + 1) / 6) * BAND_Z
     rows = rows.withColumns({"_eta": eta, "_spread": spread, "_trend": trend})
@@ -164,23 +167,16 @@ def forecast(monthly: DataFrame, hikes: DataFrame, events: DataFrame, horizon: i
              special: tuple[dt.date, dt.date] = (S.COVID_START, S.COVID_END), reopening: dt.date = S.REOPENING,
              flexibility: dict[str, float] | None = None, default_flexibility: float = S.TREND_FLEXIBILITY_DEFAULT,
              series: str = "series", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Fitted history and ``horizon`` future months per series of (series, ds, y) rows.
-
-    The break dates size the regressor array, so they are fetched when the plan is built;
-    they come from the two calendar dimensions and are refused beyond ``MAX_BREAKS``.
-    """
-    found = break_dates(hikes, events).orderBy("date").limit(MAX_BREAKS + 1).collect()
-    if len(found) > MAX_BREAKS:
-        raise ValueError(f"more than {MAX_BREAKS} break dates")
-    breaks = [row.date for row in found]
+    """Fitted history and ``horizon`` future months per series of (series, ds, y) rows."""
+    breaks = break_dates(hikes, events)
     starts = S.TRAIN_START if starts is None else starts
     flexibility = S.TREND_FLEXIBILITY if flexibility is None else flexibility
     history = training_rows(monthly, starts, default_start, series=series, ds=ds)
     features = forecast_features(future_spine(history, horizon, series, ds, y), hikes, events, breaks, special,
                                  reopening, series, ds, y)
     features = stage(features, "features")  # read by the fit and by the prediction
-    fit = fit_ridge(features, len(breaks), flexibility, default_flexibility, series, y)
-    return predict(features, fit, len(breaks), series, ds, y)
+    fit = fit_ridge(features, flexibility, default_flexibility, series, y)
+    return predict(features, fit, series, ds, y)
 
 
 def forecast_summary(fc: DataFrame, months: int = 6, series: str = "series", ds: str = "ds") -> DataFrame:

@@ -94,11 +94,7 @@ def region_totals(by_mode: DataFrame, modes: Sequence[str] | None = None, key: s
 
 
 def province_totals(by_province: DataFrame, excluded: Sequence[str] = tuple(S.UNKNOWN_PROVINCES)) -> DataFrame:
-    """All-time totals; unknown provinces are left out.
-
-    Missing province text stays NULL until load and then becomes UNKNOWN, so callers
-    working on real extracts add "UNKNOWN" to ``excluded``.
-    """
+    """All-time totals; unknown provinces, and UNKNOWN as loading writes it for missing text, are left out."""
     return (by_province.filter(F.col("provincia").isNotNull() & ~F.col("provincia").isin(*excluded))
             .groupBy("provincia").agg(F.sum("total_usos").alias("total")))
 

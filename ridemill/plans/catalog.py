@@ -21,7 +21,7 @@ from ridemill.operators import rollups as R
 from ridemill.operators import series as Z
 from ridemill.operators import windows as W
 from ridemill.plans import testdata as T
-from ridemill.session import fresh_path, spread, stage
+from ridemill.session import fresh_path, stage
 from ridemill.sources import daily as SD
 from ridemill.sources import dimensions as D
 from ridemill.sources import historical as H
@@ -136,7 +136,7 @@ def series_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def merge_prefer(spark: SparkSession, sf: str) -> DataFrame:
-    return H.merge_prefer(T.source_b(spark, sf), T.source_a(spark, sf))
+    return H.merge_prefer(T.source_b(spark, sf, until=None), T.source_a(spark, sf, until=None))
 
 
 @query
@@ -333,7 +333,7 @@ def flag_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(T.read(spark, sf, "lineitem"), "l_orderkey")
+    rows = T.read(spark, sf, "lineitem")
     keys = ["l_orderkey", "l_linenumber"]
     order = [c for c in rows.columns if c not in keys]
     return C.keep_first(rows, keys, order).withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
@@ -376,6 +376,12 @@ def _grouped(n: Column, separator: str) -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit(separator))
 
 
+def parsed_once(df: DataFrame, name: str, parsed: Column, *keep: str) -> DataFrame:
+    """The rows whose text can be read. A row number beside the parsed column keeps the filter above it, so nothing is parsed twice."""
+    rows = df.select(*keep, parsed.alias(name), F.monotonically_increasing_id().alias("_row"))
+    return rows.filter(F.col(name).isNotNull()).drop("_row")
+
+
 @query
 def parse_quantity(spark: SparkSession, sf: str) -> DataFrame:
     """Dotted, spaced and comma thousands; one return flag carries text without digits."""
@@ -383,9 +389,7 @@ def parse_quantity(spark: SparkSession, sf: str) -> DataFrame:
     text = (F.when(F.col("l_returnflag") == "A", F.concat(F.lit("n/d "), F.lower("l_linestatus")))
             .when(F.col("l_returnflag") == "N", _grouped(n, "."))
             .otherwise(F.concat(F.lit("$ "), _grouped(n, ","))))
-    return (spread(T.read(spark, sf, "lineitem"), "l_orderkey")
-            .select("l_orderkey", "l_linenumber", P.parse_count(text).alias("quantity"))
-            .filter(F.col("quantity").isNotNull()))
+    return parsed_once(T.read(spark, sf, "lineitem"), "quantity", P.parse_count(text), "l_orderkey", "l_linenumber")
 
 
 def _by_priority(*choices: Column) -> Column:
@@ -402,8 +406,7 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     text = _by_priority(
         F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "M/d/yyyy"), F.date_format(day, "yyyyMMdd"),
         F.date_format(day, "yyyy-MM-dd HH:mm:ss"), F.date_format(day, "d MMM yyyy"))
-    return (spread(T.read(spark, sf, "orders"), "o_orderkey").select("o_orderkey", P.parse_date(text).alias("fecha"))
-            .filter(F.col("fecha").isNotNull()))
+    return parsed_once(T.read(spark, sf, "orders"), "fecha", P.parse_date(text), "o_orderkey")
 
 
 @query
@@ -413,8 +416,7 @@ def parse_period(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format(day, "yyyyMM"), F.date_format(day, "yyyy-M"), F.date_format(day, "MM/yyyy"),
         F.date_format(day, "MMM-yyyy"),
         F.when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy/MM")).otherwise(F.date_format(day, "MMMM-yyyy")))
-    return (spread(T.read(spark, sf, "orders"), "o_orderkey").select("o_orderkey", P.parse_period(text).alias("month_start"))
-            .filter(F.col("month_start").isNotNull()))
+    return parsed_once(T.read(spark, sf, "orders"), "month_start", P.parse_period(text), "o_orderkey")
 
 
 # Text files written from the tables and scanned back
@@ -519,5 +521,5 @@ def incremental_refresh(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     schema = T.read(spark, sf, "events").schema
-    out = JD.run_daily_totals(spark, f"{sf}/events*.parquet", schema, fresh_path(spark, "stream"), partitions=8)
+    out = JD.run_daily_totals(spark, f"{sf}/events*.parquet", schema, fresh_path(spark, "stream"))
     return rounded(out, 2, "total")

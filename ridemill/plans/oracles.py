@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+from ridemill import schema as S
 from ridemill.operators.regression import FEATURES
 from ridemill.plans import testdata as T
 
@@ -115,18 +116,18 @@ anomaly AS (
 src_a AS (
   SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month_start, o_orderpriority AS modo,
          CAST(SUM(CAST(FLOOR(o_totalprice) AS BIGINT)) AS BIGINT) AS total_usos, 'a' AS source
-  FROM orders WHERE o_orderdate < DATE '{T.CUT}' GROUP BY 1, 2),
+  FROM orders GROUP BY 1, 2),
 src_b AS (
   SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month_start, o_orderpriority AS modo,
          COUNT(*) * 1000 AS total_usos, 'b' AS source
-  FROM orders WHERE o_orderdate >= DATE '{T.BASE_MONTH}' AND o_orderdate < DATE '{T.CUT}' GROUP BY 1, 2),
+  FROM orders WHERE o_orderdate >= DATE '{T.BASE_MONTH}' GROUP BY 1, 2),
 merged AS (
   SELECT * FROM src_b UNION ALL
   SELECT * FROM src_a a WHERE NOT EXISTS (SELECT 1 FROM src_b b WHERE b.month_start = a.month_start AND b.modo = a.modo)),
 hist AS (
   SELECT month_start, CAST(year(month_start) AS INTEGER) AS year, CAST(month(month_start) AS INTEGER) AS month, modo,
          total_usos, 'SI' AS amba, 'pre2020' AS era, source
-  FROM merged WHERE modo = '1-URGENT' OR month_start >= DATE '{T.BASE_MONTH}'),
+  FROM merged WHERE month_start < DATE '{T.CUT}' AND (modo = '1-URGENT' OR month_start >= DATE '{T.BASE_MONTH}')),
 combined AS (
   SELECT month_start, modo, total_usos FROM hist WHERE modo IN {M3}
   UNION ALL SELECT month_start, modo, total_usos FROM monthly WHERE modo IN {M3} AND month_start >= DATE '{T.CUT}'),
@@ -230,9 +231,9 @@ SELECT day_of_week, month, CAST(SUM(cantidad_usos) AS BIGINT) AS total_usos, AVG
     "daily_series": "SELECT * FROM series_by_day",
     "region_by_mode": "SELECT * FROM region_mode",
     "region_index": "SELECT * FROM region_ix",
-    "province_totals": """
+    "province_totals": f"""
 SELECT provincia, CAST(SUM(total_usos) AS BIGINT) AS total FROM by_province
-WHERE provincia NOT IN ('JN','NAN','SN','SD') AND provincia IS NOT NULL GROUP BY 1""",
+WHERE provincia NOT IN ({", ".join(f"'{p}'" for p in S.UNKNOWN_PROVINCES)}) AND provincia IS NOT NULL GROUP BY 1""",
     "modal_statistics": f"""
 SELECT modo, CAST(SUM(total_usos) AS BIGINT) AS total_all_time, ROUND(AVG(avg_daily_usos), 6) AS avg_daily,
        MAX(total_usos) AS peak_monthly, MIN(CASE WHEN total_usos > 0 THEN total_usos END) AS min_monthly

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ridemill.operators import cleaning as C
 from ridemill.plans.warehouse import Warehouse
-from ridemill.session import fresh_path, spread, stage
+from ridemill.session import fresh_path, stage
 from ridemill.sources import dimensions as D
 from ridemill.sources import historical as H
 
@@ -84,7 +84,7 @@ def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     region = F.col("r_name")
     rows = (
-        spread(read(spark, sf_dir, "lineitem"), "l_orderkey")
+        read(spark, sf_dir, "lineitem")
         .join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -110,15 +110,20 @@ def orders_by_month(spark: SparkSession, sf_dir: str, total: Column) -> DataFram
             .agg(total.cast("bigint").alias("total_usos")))
 
 
-def source_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _before(until: dt.date | None) -> Column:
+    return F.lit(True) if until is None else F.col("month_start") < F.lit(until)
+
+
+def source_a(spark: SparkSession, sf_dir: str, until: dt.date | None = CUT) -> DataFrame:
+    """All months, or those before ``until``: in the stored tables the role of history ends there."""
     rows = orders_by_month(spark, sf_dir, F.sum(F.floor("o_totalprice")))
-    return rows.filter(F.col("month_start") < F.lit(CUT)).withColumn("source", F.lit("a"))
+    return rows.filter(_before(until)).withColumn("source", F.lit("a"))
 
 
-def source_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_b(spark: SparkSession, sf_dir: str, until: dt.date | None = CUT) -> DataFrame:
+    """A source that starts later than the other one."""
     rows = orders_by_month(spark, sf_dir, F.count("*") * 1000)
-    return (rows.filter(F.col("month_start").between(F.lit(BASE_MONTH), F.date_sub(F.lit(CUT), 1)))
-            .withColumn("source", F.lit("b")))
+    return rows.filter((F.col("month_start") >= F.lit(BASE_MONTH)) & _before(until)).withColumn("source", F.lit("b"))
 
 
 _warehouses: dict[tuple[str, str], Warehouse] = {}

@@ -32,7 +32,7 @@ ENRICHMENT_DEFAULTS = {
     "municipio": "UNKNOWN",
     "dato_preliminar": "N",
 }
-UNKNOWN_PROVINCES = ["JN", "NAN", "SN", "SD"]
+UNKNOWN_PROVINCES = ["JN", "SN", "SD", "UNKNOWN"]
 REGIONS = ["SI", "NO"]
 MODE_LABELS = {
     "es": {"COLECTIVO": "Colectivo (Bus)", "TREN": "Tren", "SUBTE": "Subte"},

@@ -30,12 +30,15 @@ def get_session(app: str = "ridemill", master: str | None = None, **conf: str) -
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: ``spark.checkpoint.dir`` when the cluster names one.
+    """The shared folder for staged tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where it is unset (tests, a laptop) is a local folder created and set.
+    Only where it is unset on a local master (tests, a laptop) is a local folder created and
+    set; on a cluster its executors would each write to their own disk, so that is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ridemill-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -59,13 +62,3 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a scan that yields fewer splits than there are cores.
-
-    Meant for few or unsplittable input files, where all work up to the first shuffle
-    would run in one task. A scan with enough splits is returned unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

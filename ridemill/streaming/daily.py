@@ -16,8 +16,7 @@ def daily_totals(rows: DataFrame, ts: str = "ts", key: str = "event_type", value
             .select(F.to_date("window.start").alias("ds"), key, "n_rows", "total"))
 
 
-def run_daily_totals(spark: SparkSession, source: str, schema: T.StructType, out: str, partitions: int | None = None,
-                     **columns: str) -> DataFrame:
+def run_daily_totals(spark: SparkSession, source: str, schema: T.StructType, out: str, **columns: str) -> DataFrame:
     """Drain the files under ``source`` through the stream and read the result back.
 
     Complete mode also gives the windows still open at the end of the data; the state is
@@ -25,8 +24,6 @@ def run_daily_totals(spark: SparkSession, source: str, schema: T.StructType, out
     """
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    if partitions:
-        session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     rows = session.readStream.schema(schema).parquet(source)
     query = (
         daily_totals(rows, **columns).writeStream.outputMode("complete")
