@@ -4,7 +4,7 @@ A fingerprint's segments are mapped to their bit counts. The Manhattan distance
 vectors is at most the Hamming distance of the fingerprints, so vectors farther apart than
 the limit can be left out. Vectors within distance 2 share a grid point at distance 1 from
 both: each vector is put into its own cell and into those one step away, and the join is an
-equality of cells. The coarse grid (4-bit segments) drops fingerprints that are alone in all
+equality of cells. The coarse grid (3-bit segments, one of 4) drops fingerprints that are alone in all
 their cells. Those that are left meet again in the finest grid of the same kind (1-bit
 segments, where the bound is the distance itself): a cell then holds at most 65 different
 fingerprints whatever the data, and each is linked to the least one of its cell after the
@@ -28,7 +28,7 @@ from ridemill.llm.components import components
 from ridemill.session import stage
 
 SLICE = 1 << 20  # bytes of text that are hashed at once
-SEGMENT = 4  # bits of a coarse segment
+WIDTHS = (3,) * 20 + (4,)  # bits of the coarse segments
 
 
 def fingerprints_of(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
@@ -74,13 +74,14 @@ def _coarse_cells(fp: Column) -> Column:
     """The cells of the segment-popcount vector and of its neighbours one step away, as packed longs.
 
     Three bits hold a segment's count, moved up by one so that a step down from 0 has a place
-    (counts 0 to 4 become 1 to 5); two neighbouring fields never mix.
+    (0 to 4 become 1 to 5, or 0 to 6 with a step); neighbouring fields never mix.
     """
-    segments = [F.shiftrightunsigned(fp, SEGMENT * k).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for k in range(64 // SEGMENT)]
-    cell = F.lit(0).cast("bigint")
-    for k, segment in enumerate(segments):
+    cell, low = F.lit(0).cast("bigint"), 0
+    for k, width in enumerate(WIDTHS):
+        segment = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
         cell = cell + F.shiftleft((F.bit_count(segment) + 1).cast("bigint"), 3 * k)
-    steps = [0] + [sign * (1 << (3 * k)) for k in range(len(segments)) for sign in (1, -1)]
+        low += width
+    steps = [0] + [sign * (1 << (3 * k)) for k in range(len(WIDTHS)) for sign in (1, -1)]
     return F.transform(F.array(*(F.lit(s).cast("bigint") for s in steps)), lambda s: cell + s)
 
 
@@ -121,11 +122,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str
 def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Of repeated rows with that id, and of rows without an id whose whole component has none,
-    one stays.
+    A row without an id stands behind all others of its component, under a number made from
+    its text. Of repeated rows with the smallest id one stays. Ids are whole numbers below
+    2 to the power 62.
     """
-    own = near_duplicates(docs, shingle, seed, text, doc_id)
-    kept = own.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["__id"]), "left_semi")
+    stand_in = F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    rows = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("bigint"), stand_in))
+    own = near_duplicates(rows, shingle, seed, text, "__id")
+    kept = own.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     order = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(doc_id).orderBy(*order))).where("__n = 1").drop("__n")
+    first = F.row_number().over(W.partitionBy("__id").orderBy(*order))
+    return rows.join(kept, "__id", "left_semi").withColumn("__n", first).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
