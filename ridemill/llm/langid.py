@@ -86,13 +86,19 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, ridge:
     language or id, or with a text without letters, teach nothing. Only the codes of the
     sampled texts' n-grams come to the driver.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).withColumn("__h", F.xxhash64(doc_id))
-    ranked = known.select(lang, "__h").withColumn("__n", F.row_number().over(W.partitionBy(lang).orderBy("__h"))).where(F.col("__n") <= per_language)
-    edges = {r[0]: r[1] for r in ranked.groupBy(lang).agg(F.max("__h")).collect()}  # one row per language
+    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 32)) / F.lit(float(1 << 32))  # of a row in the sampling order, 0 to 1
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).withColumn("__h", place)
+    totals = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row per language
+    if not totals:
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+    by_lang = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col(lang)]
+    # about twice the wanted rows of each language, so that ranking them is little work at any size
+    some = known.select(lang, "__h").where(F.col("__h") < by_lang({k: 2.0 * per_language / n for k, n in totals.items()}))
+    ranked = some.withColumn("__n", F.row_number().over(W.partitionBy(lang).orderBy("__h"))).where(F.col("__n") <= per_language)
+    edges = {r[0]: r[1] for r in ranked.groupBy(lang).agg(F.max("__h")).collect()}
     if not edges:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    edge = F.create_map(*(F.lit(x) for kv in edges.items() for x in kv))
-    rows = known.where(F.col("__h") <= edge[F.col(lang)]).select(F.col(lang).alias("lang"), F.col("__h").alias("h"), F.col(text).alias("text"))
+    rows = known.where(F.col("__h") <= by_lang(edges)).select(F.col(lang).alias("lang"), F.col("__h").alias("h"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +109,7 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, ridge:
                 found = [(both[a:b] % GRAMS).astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(found, pa.binary())], names=["lang", "h", "grams"])
 
-    sample = sorted((r["lang"], r["h"], bytes(r["grams"])) for r in rows.mapInArrow(run, "lang string, h bigint, grams binary").collect() if len(r["grams"]))
+    sample = sorted((r["lang"], r["h"], bytes(r["grams"])) for r in rows.mapInArrow(run, "lang string, h double, grams binary").collect() if len(r["grams"]))
     return fit([(lang_, np.frombuffer(g, "<u4").astype(np.int64)) for lang_, _, g in sample], landmarks, ridge)
 
 
