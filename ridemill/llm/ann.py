@@ -65,7 +65,10 @@ def fit(rows: DataFrame, seed: int = 7, rounds: int = 12) -> Index:
     """Rotation and centroids from at most ``SAMPLE`` vectors, those with the lowest hash of their id."""
     head = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2"), F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
     dim = head["dim"] or 1
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(64, min(SAMPLE, SAMPLE_CELLS // dim))).collect()
+    most = max(64, min(SAMPLE, SAMPLE_CELLS // dim))
+    share = 2.0 * most / max(head["n"], 1)  # about twice the wanted rows go into the choice
+    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) / F.lit(float(1 << 32)) < share)
+    taken = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
     ids = np.array([r["vec_id"] for r in taken], np.int64)
     sample = np.array([r["v"] for r in taken], float).reshape(len(taken), dim)
     norm2 = head["norm2"] or 1.0
