@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridemill.llm import spans
@@ -28,15 +29,38 @@ from ridemill.session import stage
 ORDER = 5
 BITS = 12  # of a character in an n-gram; rarer characters share places
 START_SIGN, END_SIGN = 0, 1
-BLOCK, SLICE = 8 << 20, 1 << 20  # bytes of text in a block, and worked on at once
+BLOCK, SLICE = 12 << 20, 1 << 20  # bytes of text in a block, and worked on at once
 SHARD = 65_536  # n-grams in a shard, about
 PRIME = 1_000_003
+STEP, NONE = 2.0**-16, 1 << 30  # of a stored logarithm, and the sign for none
 
 
 def _mask(k: int) -> int:
     return (1 << (BITS * k)) - 1
 
 
+def fixed(logs: np.ndarray) -> np.ndarray:
+    """Logarithms as whole STEPs; null becomes NONE."""
+    return np.where(np.isnan(logs.astype(float)), NONE, np.round(logs.astype(float) / STEP)).astype(np.int32)
+
+
+def loose(steps: np.ndarray) -> np.ndarray:
+    """The logarithms that ``fixed`` stored, to half a STEP; NONE becomes NaN."""
+    return np.where(steps == NONE, np.nan, steps * STEP)
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Compressed numbers: their lowest bytes, then the next ones, and so on."""
+    return pa.compress(np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T), "zstd", asbytes=True)
+
+
+def swell(content: pa.Buffer, kind: type, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``squeeze`` stored."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(content, size * n, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def signs(points: np.ndarray) -> np.ndarray:
     """Characters as numbers of BITS bits: their code point, or one of 1024 shared places above it."""
     return np.where(points < 3072, np.maximum(points, 2), 3072 + points % 1024).astype(np.int64)
@@ -64,7 +88,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.slices(batch, "text", 4 * SLICE):
+            for part in spans.slices(batch, "text", 2 * SLICE):
                 code, n = np.unique(ngrams(part.column("text"))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
@@ -82,7 +106,8 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
     """(key, logp, weight) for all orders, and the log probability of a character never seen.
 
     ``key`` is the n-gram with its order in the bits above; ``weight`` is the log of what a
-    context leaves to the lower order. An empty ``texts`` gives an empty table.
+    context leaves to the lower order. An n-gram that is also a context has a row for each.
+    An empty ``texts`` gives an empty table.
     """
     tables = {ORDER: stage(counts(texts), "ngrams")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the different characters before an n-gram
@@ -92,20 +117,23 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(tables[k])
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = tables[k].groupBy(F.shiftright("code", BITS).alias("context") if k > 1 else F.lit(0).cast("bigint").alias("context")).agg(
-            F.sum("n").alias("total"), F.sum(discount).alias("left"), F.count("*").alias("kinds")).withColumn("gamma", F.col("left") / F.col("total"))
         if k == 1:
-            top = context.first()
-            if top is None:
+            top = tables[1].agg(F.sum("n").alias("total"), F.sum(discount).alias("left"), F.count("*").alias("kinds")).first()
+            if not top["kinds"]:
                 break
-            rest = top["gamma"] / (top["kinds"] + 1)
+            rest = top["left"] / top["total"] / (top["kinds"] + 1)
             unseen = float(np.log(rest))
             table = tables[1].select("code", ((F.col("n") - discount) / F.lit(float(top["total"])) + F.lit(rest)).alias("p"))
         else:
-            table = (tables[k].withColumn("context", F.shiftright("code", BITS)).withColumn("suffix", F.col("code").bitwiseAND(_mask(k - 1)))
-                     .join(context, "context").join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("below")), "suffix")
-                     .select("code", ((F.col("n") - discount) / F.col("total") + F.col("gamma") * F.col("below")).alias("p")))
-            out.append(context.select(key(k - 1, F.col("context")).alias("key"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("weight")))
+            same = W.partitionBy("context")  # at most 2 ** BITS n-grams
+            parts = stage(tables[k].withColumn("context", F.shiftright("code", BITS)).select(
+                "code", "context", F.sum("n").over(same).alias("total"), (F.col("n") - discount).alias("own"),
+                F.sum(discount).over(same).alias("left"), (F.min("code").over(same) == F.col("code")).alias("first")), "contexts")
+            gamma = F.col("left") / F.col("total")
+            table = (parts.withColumn("suffix", F.col("code").bitwiseAND(_mask(k - 1)))
+                     .join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("below")), "suffix")
+                     .select("code", (F.col("own") / F.col("total") + gamma * F.col("below")).alias("p")))
+            out.append(parts.where("first").select(key(k - 1, F.col("context")).alias("key"), F.lit(None).cast("double").alias("logp"), F.log(gamma).alias("weight")))
         lower = stage(table, "probabilities")
         out.append(lower.select(key(k, F.col("code")).alias("key"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("weight")))
     if not out:
@@ -113,7 +141,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
     union = out[0]
     for table in out[1:]:
         union = union.union(table)
-    return stage(union.groupBy("key").agg(F.max("logp").alias("logp"), F.max("weight").alias("weight")), "model"), unseen
+    return stage(union, "model"), unseen
 
 
 def _asked(grams: np.ndarray) -> np.ndarray:
@@ -162,8 +190,8 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
     rows = docs.select(*keys, F.col(text).alias("text"))
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        return pd.DataFrame({"shard": [key[0]], "keys": [group["key"].to_numpy(np.int64).tobytes()], "logp": [group["logp"].to_numpy(np.float32).tobytes()], "weight": [group["weight"].to_numpy(np.float32).tobytes()]})
+        group = group.groupby("key", as_index=False)[["logp", "weight"]].max()  # by key, ascending
+        return pd.DataFrame({"shard": [key[0]], "keys": [group["key"].to_numpy(np.int64).tobytes()], "logp": [fixed(group["logp"].to_numpy()).tobytes()], "weight": [fixed(group["weight"].to_numpy()).tobytes()]})
 
     packed = model.groupBy((F.col("key") % PRIME % shards).alias("shard")).applyInPandas(pack, "shard bigint, keys binary, logp binary, weight binary")
     tables = packed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("kind"), "keys", "logp", "weight")
@@ -175,7 +203,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             some = np.flatnonzero(np.diff(bounds))
-            packs = [pa.compress(np.diff(wanted[order[bounds[s] : bounds[s + 1]]], prepend=0).tobytes(), "zstd", asbytes=True) for s in some]
+            packs = [squeeze(np.diff(wanted[order[bounds[s] : bounds[s + 1]]], prepend=0)) for s in some]
             n = np.diff(bounds)[some]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some), pa.array((np.full(len(some), block) % copies).astype(np.int32)), pa.array(np.full(len(some), block)), pa.array(n.astype(np.int32)), pa.array(packs, pa.binary())],
@@ -189,15 +217,15 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
             for k in range(batch.num_rows):
                 shard, kind, block = (batch.column(c)[k].as_py() for c in ("shard", "kind", "block"))
                 if kind == 0:
-                    own = shard, *(np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("keys", np.int64), ("logp", np.float32), ("weight", np.float32)))
+                    own = shard, *(np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("keys", np.int64), ("logp", np.int32), ("weight", np.int32)))
                     continue
-                wanted = np.cumsum(np.frombuffer(pa.decompress(batch.column("keys")[k].as_buffer(), 8 * kind, "zstd"), np.int64))
-                values = np.full((2, kind), np.nan, np.float32)
+                wanted = np.cumsum(swell(batch.column("keys")[k].as_buffer(), np.int64, kind))
+                values = np.full((2, kind), NONE, np.int32)
                 if own and own[0] == shard:
                     at = np.minimum(np.searchsorted(own[1], wanted), len(own[1]) - 1)
                     hit = own[1][at] == wanted
                     values[:, hit] = own[2][at[hit]], own[3][at[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard]), pa.array([kind], pa.int32()), pa.array([pa.compress(values.tobytes(), "zstd", asbytes=True)], pa.binary())],
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard]), pa.array([kind], pa.int32()), pa.array([squeeze(values)], pa.binary())],
                                                  names=["block", "shard", "kind", "content"])
 
     met = tables.union(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
@@ -206,7 +234,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part in _blocks(batches):
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
                 writer.write_batch(part)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1 << 62]), pa.array([0], pa.int32()), pa.array([sink.getvalue()], pa.binary())], names=["block", "shard", "kind", "content"])
 
@@ -221,7 +249,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
                 if block != current:
                     current, held = block, {}
                 if shard < 1 << 62:
-                    held[shard] = np.frombuffer(pa.decompress(content, 8 * n, "zstd"), np.float32).reshape(2, n)
+                    held[shard] = swell(content, np.int32, 2 * n).reshape(2, n)
                     continue
                 for part in pa.ipc.open_stream(content):
                     grams = _distinct(part)
@@ -229,7 +257,7 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
                     place = wanted % PRIME % shards
                     values = np.empty((2, len(wanted)))
                     for s in np.unique(place):  # every shard has answered, or the run is not whole
-                        values[:, place == s] = held[int(s)]
+                        values[:, place == s] = loose(held[int(s)])
                     logs = log_probabilities(grams, wanted, values[0], values[1], unseen)
                     for small in spans.slices(part, "text", SLICE):
                         code, sizes = ngrams(small.column("text"))
