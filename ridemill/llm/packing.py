@@ -19,7 +19,7 @@ from ridemill.llm import pretokens, spans
 from ridemill.llm.repair import with_end
 from ridemill.session import stage
 
-SLICE = 4 << 20  # bytes of text encoded at once
+SLICE = 1 << 20  # bytes of text encoded at once
 GROUP = 100_000  # pieces that are packed together, about
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from ridemill.llm import spans
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Pre-tokens kept per worker (about 100 MB), and the longest one kept; later ones are encoded each time.
-MEMO, KEPT_BYTES = 400_000, 64
+#: Pre-tokens kept per worker (about 50 MB), and the longest one kept; later ones are encoded each time.
+MEMO, KEPT_BYTES = 200_000, 64
 #: The contractions that the pre-tokeniser splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
