@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridemill.llm import ann, chat, decontaminate, kneser_ney, langid, packing, repair, secret_scan, simhash, token_counts
+from ridemill.llm import ann, chat, decontaminate, kneser_ney, langid, lexical, packing, repair, secret_scan, sentencepieces, simhash, token_counts
 from ridemill.session import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,8 +69,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), TOKENIZER, limit=512)
 
 
+def op11_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encode(read(spark, sf_dir, "documents"), PIECES)
+    return found.select(
+        "doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op6_quality_classifier, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op6_quality_classifier, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts, op11_sentencepieces, op12_ranked_lexical_search)
 }
 
 
@@ -94,4 +106,32 @@ def _chat_sql() -> str:
     FROM turns GROUP BY conv_id"""
 
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": _chat_sql()}
+def _lexical_sql() -> str:
+    """The same ranking by joining every term of the documents with the items' terms."""
+    def lower(column: str) -> str:
+        return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def terms(column: str) -> str:
+        return f"unnest(regexp_extract_all({lower(column)}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+    tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, {terms("text")} AS term FROM docs) GROUP BY r, term),
+    sizes AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY r),
+    total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+    dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+    items AS (SELECT item_id, min(text) AS text FROM benchmark WHERE text IS NOT NULL GROUP BY item_id),
+    asked AS (SELECT item_id, term, count(*) AS n_asked FROM (SELECT item_id, {terms("text")} AS term FROM items) GROUP BY item_id, term),
+    weighed AS (
+        SELECT item_id, term, n_asked * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+        FROM asked JOIN dfs USING (term) CROSS JOIN total),
+    lengths AS (SELECT r, 75 + (25 * n * n_docs) // n_terms AS m FROM sizes CROSS JOIN total),
+    scored AS (
+        SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+        FROM weighed JOIN tfs USING (term) JOIN lengths USING (r) GROUP BY item_id, r)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM scored JOIN docs USING (r) WHERE score > 0
+    QUALIFY rank <= 20"""
+
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": _chat_sql(), "op12_ranked_lexical_search": _lexical_sql()}
