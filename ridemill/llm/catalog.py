@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridemill.llm import ann, chat, decontaminate, kneser_ney, langid, lexical, packing, repair, secret_scan, sentencepieces, simhash, token_counts
+from ridemill.llm import ann, chat, decontaminate, hard_negatives, kneser_ney, langid, lexical, packing, repair, secret_scan, sentencepieces, simhash, token_counts
 from ridemill.session import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,8 +80,13 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0, positives=5, negatives=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op6_quality_classifier, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts, op11_sentencepieces, op12_ranked_lexical_search)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_chat_formatting, op4_benchmark_decontamination, op5_token_id_output, op6_quality_classifier, op7_secret_scan, op8_nearest_neighbours, op9_best_fit_packing, op10_token_counts, op11_sentencepieces, op12_ranked_lexical_search, op13_hard_negatives)
 }
 
 
@@ -134,4 +139,25 @@ def _lexical_sql() -> str:
     QUALIFY rank <= 20"""
 
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": _chat_sql(), "op12_ranked_lexical_search": _lexical_sql()}
+#: Every anchor's inner product with every row, ranked by windows.
+_NEGATIVES_SQL = """
+    WITH kept AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+            CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM kept a JOIN kept b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+        other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3"""
+
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": _chat_sql(), "op12_ranked_lexical_search": _lexical_sql(), "op13_hard_negatives": _NEGATIVES_SQL}
