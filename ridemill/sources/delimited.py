@@ -1,9 +1,14 @@
 """Delimited text of unknown dialect: separator, encoding and header found per file.
 
 One job over all files finds each file's header line and whether a quoted field goes on
-over several lines. Files sharing a header line are then read in one scan: as splittable
-text lines whose encoding is settled per line (a line that is not valid UTF-8 is Latin-1),
-or, where records span lines, whole by the CSV reader.
+over several lines. Files sharing a header line are then read in one scan as splittable text
+lines, whose encoding is settled per line (a line that is not valid UTF-8 is Latin-1).
+
+Where records span lines the file is still read in splits. A line without quotes leaves the
+state, inside or outside of a quoted field, as it is; another one exchanges the two states or
+leads to one of them whatever came before. These effects compose, so a block's effect is known
+from its own lines, the state at its start from the blocks before, and then the state at each
+of its lines. Only the lines of records that go on are brought together.
 """
 
 from __future__ import annotations
@@ -15,12 +20,15 @@ from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridemill.session import stage
+
 log = logging.getLogger(__name__)
 
-FILE, PATH, BLOCK = "source_file", "_path", "_block"
+FILE, PATH, BLOCK, ROW = "source_file", "_path", "_block", "_row"
+OUTSIDE, INSIDE, CLOSED, FIELD_START = range(4)
 
 
 @dataclass(frozen=True)
@@ -61,6 +69,26 @@ def dominant_separator(line: str, separators: Sequence[str] = (",", ";")) -> str
     return ";" if line.count(";") > line.count(",") else ","
 
 
+def ends_inside(line: Column, separator: str, inside: bool) -> Column:
+    """Whether a line ends inside a quoted field, if it starts inside of one or not.
+
+    A quote opens a field only at the field's start, and is text elsewhere outside; inside, a
+    doubled quote is text. One pass over the pieces between the quotes.
+    """
+    pieces = F.split(line, '"')
+
+    def text(state: Column, piece: Column) -> Column:
+        return (F.when((state == INSIDE) | (piece == ""), state)
+                .when(F.endswith(piece, F.lit(separator)), FIELD_START).otherwise(OUTSIDE))
+
+    def quote(state: Column) -> Column:
+        return F.when(state.isin(FIELD_START, CLOSED), INSIDE).when(state == INSIDE, CLOSED).otherwise(OUTSIDE)
+
+    first = text(F.lit(INSIDE if inside else FIELD_START), pieces[0])
+    last = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, lambda state, piece: text(quote(state), piece))
+    return F.when(F.contains(line, F.lit('"')), last == INSIDE).otherwise(F.lit(inside))
+
+
 def read_headers(
     spark: SparkSession,
     paths: Sequence[str],
@@ -70,17 +98,17 @@ def read_headers(
 ) -> list[Header]:
     """Headers of all files under ``paths`` that have a line, in path order, by one job.
 
-    A file whose header cannot be split is skipped, or an error if ``strict``. A line with
-    an odd number of quotes marks a file whose records span lines.
+    A file whose header cannot be split, or whose last quoted field is never closed, is
+    skipped, or an error if ``strict``.
     """
     value = F.col("value")
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"), "value")
-    quotes = F.length(decoded(value)) - F.length(F.replace(decoded(value), F.lit('"'), F.lit("")))
+    opens = F.array(*(F.bool_or(ends_inside(decoded(value), sep, inside=False)) for sep in separators))
     found = lines.filter(F.trim(value) != "").groupBy("path").agg(
         F.min_by(F.struct(decoded(value).alias("line"), F.is_valid_utf8(value).alias("is_utf8")), F.struct("block", "row")).alias("head"),
-        F.bool_or(quotes % 2 == 1).alias("spans_lines"), F.bool_and(F.is_valid_utf8(value)).alias("all_utf8"))
+        opens.alias("opens"))
     headers = []
     for row in found.orderBy("path").collect():  # one row per file, as the file listing itself
         try:
@@ -91,35 +119,114 @@ def read_headers(
             log.warning("skipping %s: %s", row["path"], error)
             continue
         names = next(csv.reader([row["head"]["line"]], delimiter=sep))
-        headers.append(Header(readable(row["path"]), row["head"]["line"], row["all_utf8"] if row["spans_lines"] else row["head"]["is_utf8"],
-                              sep, tuple(n.strip().lower() for n in names), row["spans_lines"]))
+        spans_lines = row["opens"][list(separators).index(sep)]
+        headers.append(Header(readable(row["path"]), row["head"]["line"], row["head"]["is_utf8"], sep, tuple(n.strip().lower() for n in names), spans_lines))
+    never_closed = unclosed(spark, [h for h in headers if h.spans_lines])
+    for path in never_closed:
+        if strict:
+            raise ValueError(f"{path}: a quoted field is never closed")
+        log.warning("skipping %s: a quoted field is never closed", path)
+    headers = [h for h in headers if h.path not in never_closed]
     if strict and not headers:
         raise ValueError(f"{list(paths)}: no line to read")
     return headers
 
 
-def _identity() -> list[Column]:
-    return [F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_path").alias(PATH)]
+def _lines(spark: SparkSession, head: Header, paths: Sequence[str]) -> DataFrame:
+    """Every line with its place and its effect: the state it leads to from outside, and from inside."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias(ROW), decoded(F.col("value")).alias("line"))
+    return lines.withColumns({name: ends_inside(F.col("line"), head.separator, inside).cast("int") for name, inside in (("from_outside", False), ("from_inside", True))})
+
+
+def _states(df: DataFrame, keys: Sequence[str], order: str, start: Column) -> DataFrame:
+    """``before`` and ``after``: the state at each row of its group, in ``order``, from the rows' effects.
+
+    The last row before that leads to one state, whatever came before it, settles the state
+    there, and the exchanges since then turn it; without one, ``start`` is turned. ``settled``
+    says whether the state after the row depends on ``start`` no more.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(order)
+    earlier = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    fixed = F.col("from_outside") == F.col("from_inside")
+    turns = F.sum((F.col("from_outside") > F.col("from_inside")).cast("int"))
+    rows = df.withColumn("_turns", turns.over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({
+        "_fixed": F.last(F.when(fixed, F.struct(F.col("from_outside").alias("state"), "_turns")), ignorenulls=True).over(earlier),
+        "_earlier": F.coalesce(turns.over(earlier), F.lit(0))})
+    before = F.pmod(F.coalesce(F.col("_fixed.state") - F.col("_fixed._turns"), start) + F.col("_earlier"), F.lit(2))
+    return rows.withColumns({
+        "settled": fixed | F.col("_fixed").isNotNull(), "before": before.cast("int"),
+    }).withColumn("after", F.when(F.col("before") == 0, F.col("from_outside")).otherwise(F.col("from_inside"))).drop("_turns", "_fixed", "_earlier")
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """The state at the start and end of each file block that has a line with an effect, from those lines alone.
+
+    A window holds such lines of one block, or the blocks of one file.
+    """
+    special = lines.filter((F.col("from_outside") != 0) | (F.col("from_inside") != 1))
+    rows = _states(special, [PATH, BLOCK], ROW, F.lit(0))
+    ends = rows.groupBy(PATH, BLOCK).agg(F.max_by(F.struct("settled", "after"), ROW).alias("end"))
+    # not settled: the end was found from outside, and from inside it is the other state
+    effect = ends.select(PATH, BLOCK, F.col("end.after").alias("from_outside"), F.when(F.col("end.settled"), F.col("end.after")).otherwise(1 - F.col("end.after")).alias("from_inside"))
+    return _states(effect, [PATH], BLOCK, F.lit(0)).select(PATH, BLOCK, "before", "after")
+
+
+def unclosed(spark: SparkSession, headers: Sequence[Header]) -> list[str]:
+    """Files that end inside a quoted field."""
+    found = []
+    for group in by_separator(headers):
+        ends = _blocks(_lines(spark, group[0], [h.path for h in group])).groupBy(PATH).agg(F.max_by("after", BLOCK).alias("after"))
+        found += [readable(row[PATH]) for row in ends.filter("after = 1").select(PATH).collect()]  # at most the files
+    return found
+
+
+def _records(spark: SparkSession, head: Header, paths: Sequence[str]) -> DataFrame:
+    """(line, file, path, block, row) of every record; the lines of one that goes on are joined by line feeds.
+
+    Lines are shuffled by file block, and only those of records that go on once more, by record.
+    """
+    lines = _lines(spark, head, paths)
+    # a block without an effect starts and ends in the state of the blocks before it
+    places = lines.groupBy(PATH, BLOCK).agg(F.count("*").alias("n")).join(_blocks(lines), [PATH, BLOCK], "left")
+    earlier = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(places.select(PATH, BLOCK, F.coalesce(F.last("after", ignorenulls=True).over(earlier), F.lit(0)).alias("start")), "blocks")
+    rows = _states(lines.join(starts, [PATH, BLOCK]), [PATH, BLOCK], ROW, F.col("start"))
+    opens = ((F.col("before") == 0) & (F.col("after") == 1)).cast("int")
+    within = F.sum(opens).over(Window.partitionBy(PATH, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
+    rows = stage(rows.select(FILE, PATH, BLOCK, ROW, "line", "before", "after", within.alias("record")), "lines")
+    counts = rows.groupBy(PATH, BLOCK).agg(F.max("record").alias("n"))
+    counts = counts.select(PATH, BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    single = rows.filter("before = 0 AND after = 0").select("line", FILE, PATH, BLOCK, ROW)
+    parts = rows.filter("before = 1 OR after = 1").join(counts, [PATH, BLOCK])
+    ordered = F.array_sort(F.collect_list(F.struct(BLOCK, ROW, "line")))
+    joined = parts.groupBy(FILE, PATH, (F.col("record") + F.col("earlier")).alias("record")).agg(ordered.alias("all"))
+    text = F.array_join(F.transform("all", lambda part: part["line"]), "\n")
+    return single.union(joined.select(text, FILE, PATH, F.col("all")[0][BLOCK], F.col("all")[0][ROW]))
 
 
 def read_rows(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:
     """One scan of files that share a header line: all columns as text, plus the file's
-    name and path and the offset of the file block a row comes from."""
+    name and path, the offset of the file block a row comes from and, where records span
+    lines, the row's place in the block."""
     head, paths = headers[0], [h.path for h in headers]
     fields = ", ".join(f"c{i} string" for i in range(len(head.columns)))
-    options = {"sep": head.separator, "escape": '"'}
+    options = {"sep": head.separator, "escape": '"', "multiLine": head.spans_lines}
     named = [F.col(f"r.c{i}").alias(name) for i, name in enumerate(head.columns)]
     if head.spans_lines:
-        whole = spark.read.options(**options, header=True, multiLine=True, encoding="UTF-8" if head.is_utf8 else "ISO-8859-1").schema(fields).csv(paths)
-        return whole.select(F.struct(*whole.columns).alias("r"), *_identity(), F.lit(0).cast("bigint").alias(BLOCK)).select(*named, FILE, PATH, BLOCK)
-    # compared before decoding where possible: a filter on decoded text would decode twice
-    value = F.col("value") if head.is_utf8 else decoded(F.col("value"))
-    lines = (
-        spark.read.text(paths)
-        .filter((F.trim("value") != "") & (value != F.lit(head.line)))
-        .select(decoded(F.col("value")).alias("line"), *_identity(), F.col("_metadata.file_block_start").alias(BLOCK))
-    )
-    return lines.select(F.from_csv(F.col("line"), fields, options).alias("r"), FILE, PATH, BLOCK).select(*named, FILE, PATH, BLOCK)
+        lines = _records(spark, head, paths).filter((F.trim("line") != "") & (F.col("line") != F.lit(head.line)))
+    else:
+        # compared before decoding where possible: a filter on decoded text would decode twice
+        value = F.col("value") if head.is_utf8 else decoded(F.col("value"))
+        lines = (
+            spark.read.text(paths)
+            .filter((F.trim("value") != "") & (value != F.lit(head.line)))
+            .select(decoded(F.col("value")).alias("line"), F.col("_metadata.file_name").alias(FILE), F.col("_metadata.file_path").alias(PATH),
+                    F.col("_metadata.file_block_start").alias(BLOCK), F.lit(None).cast("bigint").alias(ROW))
+        )
+    return lines.select(F.from_csv(F.col("line"), fields, options).alias("r"), FILE, PATH, BLOCK, ROW).select(*named, FILE, PATH, BLOCK, ROW)
 
 
 def read_files(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:
@@ -129,7 +236,14 @@ def read_files(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:
 
 def position() -> Column:
     """Sorts rows of a file in file order; valid until the first shuffle after the scan."""
-    return F.struct(F.col(BLOCK).alias("block"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(F.col(BLOCK).alias("block"), F.coalesce(ROW, F.monotonically_increasing_id()).alias("row"))
+
+
+def by_separator(headers: Sequence[Header]) -> list[list[Header]]:
+    groups: dict[str, list[Header]] = {}
+    for header in headers:
+        groups.setdefault(header.separator, []).append(header)
+    return list(groups.values())
 
 
 def by_header(headers: Sequence[Header]) -> list[list[Header]]:

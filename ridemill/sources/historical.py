@@ -79,12 +79,12 @@ def parse_source_a(raw: DataFrame) -> DataFrame:
 
 def read_source_a(spark: SparkSession, path: str) -> DataFrame:
     headers = D.read_headers(spark, [path], choose=D.dominant_separator, strict=True)
-    return parse_source_a(D.read_files(spark, headers).drop(D.FILE, D.PATH, D.BLOCK))
+    return parse_source_a(D.read_files(spark, headers).drop(D.FILE, D.PATH, D.BLOCK, D.ROW))
 
 
 def read_source_b(spark: SparkSession, path: str, aggregate: bool = False) -> DataFrame:
     headers = D.read_headers(spark, [path], separators=(";",), strict=True)
-    return parse_source_b(D.read_files(spark, headers).drop(D.FILE, D.PATH, D.BLOCK), aggregate)
+    return parse_source_b(D.read_files(spark, headers).drop(D.FILE, D.PATH, D.BLOCK, D.ROW), aggregate)
 
 
 def merge_prefer(preferred: DataFrame, other: DataFrame, month: str = "month_start", key: str = "modo") -> DataFrame:
