@@ -3,15 +3,14 @@
 The model is log y = level + trend with hinges at known break dates + month effects +
 special-period and shock flags + standardized cumulative-fare and recovery-momentum terms.
 It keeps the structure of a decomposable trend/seasonality/regressor model with
-multiplicative seasonality, but not the numbers of any particular sampler. Features and
-predictions are columns; one task solves one series' small ridge system, and a series has
-one row per month.
+multiplicative seasonality, but not the numbers of any particular sampler. Features, cross
+products and predictions are columns and sums; Python solves one small system per series.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from ridemill import schema as S
 from ridemill.functions.numeric import momentum, month_number, sql_round, window_flag
 from ridemill.operators.calendars import asof_cumsum, break_dates, macro_shock
-from ridemill.operators.regression import dot
+from ridemill.operators.regression import dot, full_products, product_sums
 from ridemill.session import stage
 from ridemill.sources.historical import on_or_after_start
 
@@ -108,33 +107,41 @@ HINGES_FROM = 17
 def fit_ridge(features: DataFrame, flexibility: dict[str, float], default_flexibility: float,
               series: str = "series", y: str = "y") -> DataFrame:
     """(series, beta, noise, drift): coefficients, residual variance and the variance one
-    more break adds per squared month."""
+    more break adds per squared month.
+
+    The penalised normal equations come from summed products, so a series' rows never reach
+    Python: it solves one small system per series, several series per Arrow batch.
+    """
     scale = F.lit(float(default_flexibility))
     for name, value in flexibility.items():
         scale = F.when(F.col(series) == name, F.lit(float(value))).otherwise(scale)
     rows = features.filter(~F.col("is_forecast")).select(
-        F.col(series).alias("series"), "x", scale.alias("scale"), "_months",
+        series, "x", scale.alias("scale"), "_months",
         F.log(F.col(y).cast("double") + F.col("_shift")).alias("z"))
-
-    def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, z = np.stack(pdf["x"].to_list()), pdf["z"].to_numpy()
-        penalty = np.full(x.shape[1], BASE_PENALTY)
-        penalty[0] = 0.0
-        penalty[HINGES_FROM:] = HINGE_NOISE / pdf["scale"].iloc[0] ** 2
-        gram = x.T @ x
-        beta = np.linalg.solve(gram + np.diag(penalty), x.T @ z)
-        used = np.trace(np.linalg.solve(gram + np.diag(penalty), gram))
-        noise = float(((z - x @ beta) ** 2).sum() / max(len(z) - used, 1.0))
-        active = np.diag(gram)[HINGES_FROM:] > 0
-        months = float(pdf["_months"].iloc[0])
-        slopes = np.abs(beta[HINGES_FROM:][active]) / months
-        drift = 2 * slopes.mean() ** 2 * active.sum() / months if active.any() else 0.0
-        return pd.DataFrame({"series": pdf["series"].iloc[:1], "beta": [beta], "noise": [noise], "drift": [drift]})
+    k = features.agg(F.max(F.size("x"))).first()[0] or HINGES_FROM  # one width for all series
+    sums = rows.groupBy(series).agg(
+        product_sums(k, "z").alias("products"), F.count("*").alias("n"), F.max("scale").alias("scale"), F.max("_months").alias("months"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            full = full_products(pdf["products"], k)
+            gram, moment, square = full[:, :k, :k], full[:, :k, k], full[:, k, k]
+            penalty = np.full((len(pdf), k), BASE_PENALTY)
+            penalty[:, 0] = 0.0
+            penalty[:, HINGES_FROM:] = HINGE_NOISE / pdf["scale"].to_numpy()[:, None] ** 2
+            system = gram + penalty[:, :, None] * np.eye(k)
+            solved = np.linalg.solve(system, np.concatenate([moment[:, :, None], gram], axis=2))
+            beta, used = solved[:, :, 0], np.einsum("sii->s", solved[:, :, 1:])
+            error = square - 2 * np.einsum("si,si->s", beta, moment) + np.einsum("si,sij,sj->s", beta, gram, beta)
+            active = np.einsum("sii->si", gram)[:, HINGES_FROM:] > 0
+            months = pdf["months"].to_numpy()
+            slopes = (np.abs(beta[:, HINGES_FROM:]) * active).sum(1) / np.maximum(active.sum(1), 1) / months
+            yield pd.DataFrame({
+                series: pdf[series], "beta": list(beta), "noise": np.maximum(error, 0) / np.maximum(pdf["n"].to_numpy() - used, 1.0),
+                "drift": 2 * slopes ** 2 * active.sum(1) / months})
 
     kind = features.schema[series].dataType.simpleString()
-    fitted = rows.groupBy("series").applyInPandas(
-        one_series, f"series {kind}, beta array<double>, noise double, drift double")
-    return fitted.withColumnRenamed("series", series)
+    return sums.mapInPandas(solve, f"{series} {kind}, beta array<double>, noise double, drift double")
 
 
 def predict(features: DataFrame, fit: DataFrame, series: str = "series", ds: str = "ds", y: str = "y") -> DataFrame:

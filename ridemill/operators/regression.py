@@ -1,13 +1,12 @@
 """Interrupted time series: segmented least squares over many monthly series at once.
 
-Features, cross products, residuals and lagged score products are DataFrame columns and
-sums; Python only inverts one small matrix per series, several series per Arrow batch.
+Features, cross products, residuals, lagged score products, tails and bounds are DataFrame
+columns and sums; Python only inverts one small matrix per series, several series per Arrow batch.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -51,21 +50,29 @@ def with_vector(features: DataFrame, names: Sequence[str] = tuple(FEATURES)) ->
     return features.withColumn("x", F.array(*parts))
 
 
-def cross_products(df: DataFrame, k: int, series: str = "series", y: str = "y") -> DataFrame:
-    """Upper triangle of [x, y]ᵀ[x, y] per series, summed map-side like any other aggregate."""
+def product_sums(k: int, y: str = "y") -> Column:
+    """Upper triangle of [x, y]ᵀ[x, y] as an aggregate, summed map-side like any other."""
     columns = [F.col("x")[i] for i in range(k)] + [F.col(y).cast("double")]
-    sums = [F.sum(columns[i] * columns[j]) for i in range(k + 1) for j in range(i, k + 1)]
-    return df.groupBy(series).agg(F.array(*sums).alias("products"))
+    return F.array(*[F.sum(columns[i] * columns[j]) for i in range(k + 1) for j in range(i, k + 1)])
+
+
+def cross_products(df: DataFrame, k: int, series: str = "series", y: str = "y") -> DataFrame:
+    return df.groupBy(series).agg(product_sums(k, y).alias("products"))
+
+
+def full_products(upper: Sequence[Sequence[float]], k: int) -> np.ndarray:
+    """Symmetric matrices of :func:`product_sums`, one per row."""
+    rows, columns = np.triu_indices(k + 1)
+    full = np.zeros((len(upper), k + 1, k + 1))
+    full[:, rows, columns] = np.stack(list(upper))
+    return full + np.triu(full, 1).transpose(0, 2, 1)
 
 
 def solve_normal_equations(products: DataFrame, k: int, series: str = "series") -> DataFrame:
     """(series, beta, inverse, rank); directions without variation are left out (pseudo-inverse)."""
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = np.triu_indices(k + 1)
         for pdf in batches:
-            full = np.zeros((len(pdf), k + 1, k + 1))
-            full[:, upper[0], upper[1]] = np.stack(pdf["products"].to_list())
-            full = full + np.triu(full, 1).transpose(0, 2, 1)
+            full = full_products(pdf["products"], k)
             gram, moment = full[:, :k, :k], full[:, :k, k]
             size = np.sqrt(np.einsum("sii->si", gram))
             scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
@@ -140,31 +147,17 @@ def observed(features: DataFrame, series: str = "series", ds: str = "ds", y: str
         (F.var_pop(value) * F.count("*")).alias("sst"))
 
 
-def _infer(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Standard errors, p-values and 95 % bounds of the level and slope terms."""
-    critical_t = functools.lru_cache(maxsize=None)(
-        lambda df: tails.critical(lambda t: tails.student_p(t, df)))
-    critical_z = tails.critical(tails.normal_p)
-    for pdf in batches:
-        for name, j in (("level", LEVEL), ("slope", SLOPE)):
-            columns: dict[str, list[float]] = {"se": [], "p": [], "lo": [], "hi": []}
-            for r in pdf.itertuples(index=False):
-                df, beta = r.n_obs - r.rank, r.beta[j]
-                if df <= 0:
-                    se = p = bound = float("nan")
-                else:
-                    robust = r.se_type != "OLS"
-                    variance = r.hac_sums[j] * r.n_obs / df if robust else r.inverse[j * k + j] * r.sse / df
-                    se = float(np.sqrt(variance)) if variance > 0 else float("nan")
-                    ratio = beta / se
-                    p = (tails.normal_p(ratio) if robust else tails.student_p(ratio, df)) if se == se else se
-                    bound = se * (critical_z if robust else critical_t(df))
-                for key, value in zip(("se", "p", "lo", "hi"), (se, p, beta - bound, beta + bound)):
-                    columns[key].append(value)
-            pdf[f"beta_{name}"] = [b[j] for b in pdf["beta"]]
-            pdf[f"beta_{name}_se"], pdf[f"pvalue_{name}"] = columns["se"], columns["p"]
-            pdf[f"ci_{name}_lo"], pdf[f"ci_{name}_hi"] = columns["lo"], columns["hi"]
-        yield pdf[[c for c in pdf.columns if c not in ("beta", "inverse", "hac_sums", "rank", "sse")]]
+def _effect(name: str, j: int, k: int) -> dict[str, Column]:
+    """Estimate, standard error, p-value and 95 % bounds of coefficient ``j``; NaN without degrees of freedom or spread."""
+    beta, robust, nan = F.col("beta")[j], F.col("se_type") != "OLS", F.lit(float("nan"))
+    df = (F.col("n_obs") - F.col("rank")).cast("int")
+    variance = F.when(robust, F.try_divide(F.col("hac_sums")[j] * F.col("n_obs"), df)).otherwise(F.try_divide(F.col("inverse")[j * k + j] * F.col("sse"), df))
+    known = (df > 0) & (variance > 0)
+    error = F.when(known, F.sqrt(variance)).otherwise(nan)
+    ratio = beta / error
+    p = F.when(~known, nan).when(robust, tails.normal_p(ratio)).otherwise(tails.student_p(ratio, df))
+    width = error * F.when(~known | robust, F.lit(tails.NORMAL_CRITICAL)).otherwise(tails.student_critical(df))
+    return {f"beta_{name}": beta, f"beta_{name}_se": error, f"pvalue_{name}": p, f"ci_{name}_lo": beta - width, f"ci_{name}_hi": beta + width}
 
 
 def its_inference(features: DataFrame, fit: DataFrame, hac_series: Sequence[str] | None = tuple(S.HAC_SERIES),
@@ -177,18 +170,9 @@ def its_inference(features: DataFrame, fit: DataFrame, hac_series: Sequence[str]
         .withColumn("se_type", F.when(robust, f"HAC-{lags}").otherwise("OLS"))
         .withColumn("r2", 1 - F.try_divide("sse", "sst"))
     )
-    effects = ", ".join(
-        f"beta_{n} double, beta_{n}_se double, pvalue_{n} double, ci_{n}_lo double, ci_{n}_hi double"
-        for n in ("level", "slope"))
-    kind = features.schema[series].dataType.simpleString()
-    kept = joined.select(series, "n_obs", "train_start", "n_post", "pre_mean", "sst", "se_type", "r2",
-                         "beta", "inverse", "hac_sums", "rank", "sse")
-    k = len(FEATURES)
-    return kept.mapInPandas(
-        lambda batches: _infer(batches, k),
-        f"{series} {kind}, n_obs long, train_start date, n_post long, pre_mean double, sst double, "
-        f"se_type string, r2 double, {effects}",
-    ).drop("sst").withColumns({"stars_level": stars(F.col("pvalue_level")), "stars_slope": stars(F.col("pvalue_slope"))})
+    effects = {**_effect("level", LEVEL, len(FEATURES)), **_effect("slope", SLOPE, len(FEATURES))}
+    out = joined.select(series, "n_obs", "train_start", "n_post", "pre_mean", "se_type", "r2", *[c.alias(name) for name, c in effects.items()])
+    return out.withColumns({"stars_level": stars(F.col("pvalue_level")), "stars_slope": stars(F.col("pvalue_slope"))})
 
 
 def its_effect(inference: DataFrame, hikes: DataFrame, after: dt.date = S.SHOCK_FROM, until: dt.date = S.SHOCK_TO,

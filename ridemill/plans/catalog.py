@@ -256,9 +256,17 @@ def its_hac(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("series", "n_obs", *columns), 4, *columns)
 
 
+INFERRED = {"pre_mean": 6, "r2": 8, **{f"{a}_{n}{b}": d for n in ("level", "slope") for a, b, d in (
+    ("beta", "", 4), ("beta", "_se", 4), ("pvalue", "", 8), ("ci", "_lo", 4), ("ci", "_hi", 4))}}
+
+
+def _rounded_to(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: N.sql_round(F.col(c), d) for c, d in digits.items()})
+
+
 @query
 def its_inference(spark: SparkSession, sf: str) -> DataFrame:
-    return X.its_inference(*_fitted(T.warehouse(spark, sf)), ["2-HIGH", "3-MEDIUM"])
+    return _rounded_to(X.its_inference(*_fitted(T.warehouse(spark, sf)), ["2-HIGH", "3-MEDIUM"]), INFERRED)
 
 
 @query
@@ -269,7 +277,8 @@ def counterfactual(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def its_metrics(spark: SparkSession, sf: str) -> DataFrame:
     features, fit = _fitted(T.warehouse(spark, sf))
-    return X.its_metrics(X.counterfactual(features, fit), X.its_inference(features, fit, ["2-HIGH", "3-MEDIUM"]))
+    metrics = X.its_metrics(X.counterfactual(features, fit), X.its_inference(features, fit, ["2-HIGH", "3-MEDIUM"]))
+    return _rounded_to(metrics, {"cumulative_gap": 4, "latest_gap_pct": 6, "beta_slope": 4, "pvalue_slope": 8})
 
 
 wh_query("its_features", _features)
@@ -277,22 +286,27 @@ wh_query("its_features", _features)
 
 @query
 def its_effect(spark: SparkSession, sf: str) -> DataFrame:
-    return X.its_analysis(T.monthly_series(T.warehouse(spark, sf)), T.hikes_dim(spark), T.TREATMENT, T.SPECIAL,
-                          ["2-HIGH", "3-MEDIUM"], *T.SHOCK)
+    effect = X.its_analysis(T.monthly_series(T.warehouse(spark, sf)), T.hikes_dim(spark), T.TREATMENT, T.SPECIAL,
+                            ["2-HIGH", "3-MEDIUM"], *T.SHOCK)
+    return _rounded_to(effect, {**INFERRED, "initial_hike_pct": 6, "pct_level_change": 6, "implied_elasticity": 6})
 
 
 # Forecasts and diagnostics
 
-@query
-def forecast(spark: SparkSession, sf: str) -> DataFrame:
+def _forecast(spark: SparkSession, sf: str) -> DataFrame:
     return FC.forecast(
         T.monthly_series(T.warehouse(spark, sf)), T.hikes_dim(spark), T.events_dim(spark), starts=T.STARTS,
-        default_start=T.BASE_MONTH, special=T.SPECIAL, reopening=T.REOPENING, flexibility={"2-HIGH": 0.1, "3-MEDIUM": 0.2})
+        default_start=T.BASE_MONTH, special=T.SPECIAL, reopening=T.REOPENING, flexibility=T.FLEXIBILITY)
+
+
+@query
+def forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_forecast(spark, sf), 2, "yhat", "yhat_lower", "yhat_upper", "trend")
 
 
 @query
 def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return G.diagnostics(forecast(spark, sf), *T.SPECIAL)
+    return rounded(G.diagnostics(_forecast(spark, sf), *T.SPECIAL), 6, "lb_stat", "lb_pvalue")
 
 
 def _naive(wh: T.Warehouse) -> DataFrame:
@@ -321,6 +335,7 @@ wh_query("ljung_box", lambda wh: rounded(
 wh_query("verdict", lambda wh: rounded(
     _verdicts(wh).select("series", "mape_post", "autocorrelated", "verdict"), 8, "mape_post"))
 wh_query("verdict_summary", lambda wh: G.verdict_summary(_verdicts(wh)))
+wh_query("verdict_members", lambda wh: G.verdict_members(_verdicts(wh)))
 
 
 # Cleaning
@@ -462,6 +477,55 @@ def scan_all(spark: SparkSession, sf: str) -> DataFrame:
         "n_rows", "total")
 
 
+@query
+def scan_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """Operator names with line feeds, a blank line, doubled quotes and separators, read in splits."""
+    path = fresh_path(spark, "quoted")
+    name = F.concat(F.lower("nombre_empresa"), F.lit('\ndicha "'), F.lower("linea"), F.lit('",\n\ny otros'))
+    (T.warehouse(spark, sf).daily.select(
+        F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), F.col("modo"), name.alias("nombre_empresa"), F.col("linea"),
+        F.col("cantidad_usos").cast("string").alias("cantidad"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    parsed = C.parse_daily(SD.scan_csv(spark, path))
+    return parsed.groupBy("fecha", "nombre_empresa").agg(F.count("*").alias("n_rows"), F.sum("cantidad_usos").alias("total"))
+
+
+def _yearly_files(daily: DataFrame, folder: str, quantity: str) -> None:
+    """One extract per year."""
+    (daily.select("year", F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), F.col("modo").alias("tipo_transporte"),
+                  F.col("cantidad_usos").cast("string").alias(quantity))
+     .repartition("year").write.partitionBy("year").option("header", True).csv(folder))
+
+
+@query
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per file they come from, by name; the files hold one year each."""
+    folder = fresh_path(spark, "yearly")
+    _yearly_files(T.warehouse(spark, sf).daily, folder, "usos")
+    parsed = C.parse_daily(SD.scan_all(spark, folder, "*/*.csv"))
+    return parsed.groupBy(F.regexp_replace("source_file", "^part-.*[.]csv$", "part.csv").alias("source_file"), "year").agg(
+        F.count("*").alias("n_rows"), F.sum("cantidad_usos").alias("total"))
+
+
+@query
+def refused_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the yearly files those from 1999 on lack the required count column and are left out."""
+    folder = fresh_path(spark, "partly")
+    daily = T.warehouse(spark, sf).daily
+    _yearly_files(daily.filter("year < 1999"), f"{folder}/good", "usos")
+    _yearly_files(daily.filter("year >= 1999"), f"{folder}/bad", "algo")
+    parsed = C.parse_daily(SD.scan_all(spark, folder, "*/*/*.csv"))
+    return parsed.groupBy("fecha", "modo").agg(F.count("*").alias("n_rows"), F.sum("cantidad_usos").alias("total"))
+
+
+@query
+def combined_without_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables without the historical one: months and history reads still answer."""
+    wh = T.Warehouse(spark, fresh_path(spark, "recent"), T.MODES3)
+    wh.load(T.warehouse(spark, sf).daily.filter(F.col("year") >= T.CUT.year))
+    return wh.combined_monthly().join(wh.historical_read().select("month_start", "modo", "era"), ["month_start", "modo"], "left")
+
+
 def _as_source_mode() -> Column:
     names = {"1-URGENT": "colectivo", "2-HIGH": " Tren ", "3-MEDIUM": "SUBTE", "4-NOT SPECIFIED": "premetro", "5-LOW": "LANCHAS"}
     return P.map_values(F.col("o_orderpriority"), names)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ridemill import schema as S
 from ridemill.operators.regression import FEATURES
+from ridemill.plans import fit_oracles
 from ridemill.plans import testdata as T
 
 
@@ -402,6 +403,7 @@ SELECT series, ROUND(mape_pre, 8) AS mape_pre, ROUND(mape_covid, 8) AS mape_covi
     "ljung_box": """
 SELECT series, n, ROUND(lb_stat, 8) AS lb_stat, ROUND(lb_pvalue, 8) AS lb_pvalue, lb_pvalue < 0.05 AS autocorrelated FROM autocorrelation""",
     "verdict": "SELECT series, ROUND(mape_post, 8) AS mape_post, autocorrelated, verdict FROM verdicts",
+    "verdict_members": "SELECT verdict, series, COALESCE(autocorrelated, FALSE) AS autocorrelated FROM verdicts",
     "verdict_summary": """
 SELECT verdict, COUNT(*) AS n_series, COUNT(*) FILTER (autocorrelated) AS n_autocorrelated FROM verdicts GROUP BY 1""",
     "flag_outliers": """
@@ -436,6 +438,15 @@ SELECT fecha, modo, COUNT(*) AS n_rows, CAST(SUM(cantidad_usos) AS BIGINT) AS to
 SELECT fecha, modo, nombre_empresa, COUNT(*) AS n_rows, CAST(SUM(cantidad_usos) AS BIGINT) AS total FROM (
   SELECT fecha, modo, nombre_empresa, cantidad_usos FROM daily WHERE year < 1999
   UNION ALL SELECT fecha, modo, 'UNKNOWN', SUM(cantidad_usos) FROM daily WHERE year >= 1999 GROUP BY 1, 2) GROUP BY 1, 2, 3""",
+    "scan_quoted": """
+SELECT fecha, upper(nombre_empresa) || chr(10) || 'DICHA "' || upper(linea) || '",' || chr(10) || chr(10) || 'Y OTROS' AS nombre_empresa,
+       COUNT(*) AS n_rows, CAST(SUM(cantidad_usos) AS BIGINT) AS total FROM daily GROUP BY 1, 2""",
+    "source_files": """
+SELECT 'part.csv' AS source_file, year, COUNT(*) AS n_rows, CAST(SUM(cantidad_usos) AS BIGINT) AS total FROM daily GROUP BY year""",
+    "refused_files": """
+SELECT fecha, modo, COUNT(*) AS n_rows, CAST(SUM(cantidad_usos) AS BIGINT) AS total FROM daily WHERE year < 1999 GROUP BY 1, 2""",
+    "combined_without_history": f"""
+SELECT month_start, modo, total_usos, CAST(NULL AS VARCHAR) AS era FROM monthly WHERE modo IN {M3} AND year >= {T.CUT.year}""",
     "hist_source_a": """
 SELECT month_start, modo, CAST(SUM(v) AS BIGINT) AS total_usos, 'periodo_modo_2013_2019' AS source FROM (
   SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month_start, CAST(FLOOR(o_totalprice) AS BIGINT) AS v,
@@ -457,7 +468,7 @@ SELECT CAST(ts AS DATE) AS ds, event_type, COUNT(*) AS n_rows, ROUND(SUM(value),
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _attach(statement) for name, statement in SQL.items()}
+    return {name: _attach(statement) for name, statement in (SQL | fit_oracles.SQL).items()}
 
 
 def _attach(statement: str) -> str:

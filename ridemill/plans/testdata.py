@@ -28,6 +28,7 @@ SPECIAL = (dt.date(1998, 3, 1), dt.date(1998, 12, 1))
 REOPENING = dt.date(1999, 1, 1)
 STARTS = {"1-URGENT": None}
 LAST_KNOWN = dt.date(2001, 5, 1)
+FLEXIBILITY = {"2-HIGH": 0.1, "3-MEDIUM": 0.2}
 SHOCK = (dt.date(1999, 12, 31), dt.date(2000, 2, 28))
 
 EVENT_ROWS = [
