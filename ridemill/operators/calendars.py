@@ -143,7 +143,7 @@ def changepoints(breaks: DataFrame, series_range: DataFrame, first: str = "first
     ``series_range`` has one row per series; the dates are a dimension of fixed size, so
     they travel as one array and are filtered in place instead of joined by range.
     """
-    dates = breaks.agg(F.array_sort(F.collect_list("date"))).scalar()
+    dates = breaks.select(F.col("date").cast("date")).distinct().agg(F.array_sort(F.collect_list("date"))).scalar()
     inside = F.filter(F.col("_dates"), lambda d: (d >= F.col(first)) & (d < F.col(last)))
     return (series_range.withColumn("_dates", dates)
             .withColumn("changepoint", F.explode(inside)).drop("_dates"))

@@ -33,17 +33,18 @@ def parse_daily(raw: DataFrame) -> DataFrame:
     """Scanned text rows to typed rows with their file position; rows without a readable
     date or count are dropped.
 
-    Position and parsing share one projection: being non-deterministic it cannot be
-    passed by the filter, which would otherwise repeat all parsing below it.
+    Position and parsing share one projection, which the filter uses: being non-deterministic
+    it can neither lose the position nor be passed by the filter, which would parse again below.
     """
     text = [c for c in S.ENRICHMENT_DEFAULTS if c in raw.columns]
-    typed = raw.select(
-        P.parse_date(F.col("fecha")).alias("fecha"),
+    typed = raw.withColumn("fecha", P.date_text(F.col("fecha"))).select(
+        P.parse_date(F.col("fecha"), ready=True).alias("fecha"),
         P.clean_text(F.col("modo")).alias("modo"),
         P.parse_count(F.col("cantidad_usos")).alias("cantidad_usos"),
         *[P.clean_text(F.col(c)).alias(c) for c in text],
         FILE, *([PATH] if PATH in raw.columns else []), position().alias(POSITION))
-    return add_date_parts(typed.filter(F.col("fecha").isNotNull() & F.col("cantidad_usos").isNotNull()))
+    known = F.col("fecha").isNotNull() & F.col("cantidad_usos").isNotNull() & (F.col(POSITION)["row"] >= 0)
+    return add_date_parts(typed.filter(known))
 
 
 def zero_on_weekday(quantity: str = "cantidad_usos", day_of_week: str = "day_of_week"):

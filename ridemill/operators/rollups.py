@@ -55,6 +55,47 @@ def operator_totals(daily: DataFrame, operator: str = "nombre_empresa", key: str
     )
 
 
+def month_parts(daily: DataFrame) -> DataFrame:
+    """Trusted rows of a month, mode, operator, line and place as sums that all stored rollups share.
+
+    ``days`` has a bit for each day of the month: parts merge by OR, and counts of days in
+    different months add up, so no distinct count ever needs the daily rows again.
+    """
+    return trusted(daily).groupBy("year", "month", "modo", "nombre_empresa", "linea", "provincia", "amba").agg(
+        F.sum("cantidad_usos").alias("total"), F.count("*").alias("n"),
+        F.bit_or(F.expr("shiftleft(1, dayofmonth(fecha) - 1)")).alias("days"))
+
+
+def _days(days: str = "days"):
+    return F.bit_count(F.bit_or(days)).cast("bigint")
+
+
+def monthly_from_parts(parts: DataFrame) -> DataFrame:
+    """:func:`monthly_rollup` from the months' parts."""
+    return parts.groupBy("year", "month", "modo").agg(
+        F.sum("total").alias("total_usos"), (F.sum("total").cast("double") / F.sum("n")).alias("avg_daily_usos"),
+        _days().alias("days_with_data"), F.lit(0).cast("bigint").alias("suspicious_days")).withColumn(
+        "month_start", F.make_date("year", "month", F.lit(1)))
+
+
+def provinces_from_parts(parts: DataFrame) -> DataFrame:
+    """:func:`monthly_by_province` from the months' parts."""
+    return parts.groupBy("year", "month", "modo", "provincia", "amba").agg(
+        F.sum("total").alias("total_usos"), _days().alias("days_with_data")).withColumn("month_start", F.make_date("year", "month", F.lit(1)))
+
+
+def operators_from_parts(parts: DataFrame) -> DataFrame:
+    """:func:`operator_totals` from the months' parts: lines by merging their rows, days by their bits."""
+    keys = ["nombre_empresa", "modo"]
+    known = parts.filter(F.col("nombre_empresa") != "UNKNOWN")
+    zero = F.lit(0).cast("bigint")
+    lines = known.groupBy(*keys, "linea").agg(F.sum("total").alias("total")).select(
+        *keys, "total", zero.alias("days"), F.col("linea").isNotNull().cast("bigint").alias("lines"))
+    days = known.groupBy(*keys, "year", "month").agg(_days().alias("days")).select(*keys, zero.alias("total"), "days", zero.alias("lines"))
+    return lines.union(days).groupBy(*keys).agg(
+        F.sum("total").alias("total_usos"), F.sum("days").alias("active_days"), F.sum("lines").alias("num_lineas"))
+
+
 def total_daily(daily: DataFrame, ds: str = "fecha", value: str = "cantidad_usos") -> DataFrame:
     return (trusted(daily).groupBy(ds, "year", "month", "day_of_week")
             .agg(F.sum(value).alias("total_usos")))

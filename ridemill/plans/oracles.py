@@ -462,6 +462,10 @@ SELECT month_start, modo, total_usos, 'mmodo_2016_2019' AS source FROM (
 SELECT month_start, modo, total_usos, n_rows FROM (
   SELECT CAST(DATE_TRUNC('month', fecha) AS DATE) AS month_start, modo, CAST(SUM(cantidad_usos) AS BIGINT) AS total_usos, COUNT(*) AS n_rows
   FROM daily GROUP BY 1, 2)""",
+    "refresh_batch": """
+SELECT CAST(DATE_TRUNC('month', fecha) AS DATE) AS month_start, modo,
+       CAST(SUM(cantidad_usos + CASE WHEN year = 1996 THEN 1000 ELSE 0 END) AS BIGINT) AS total_usos, COUNT(*) AS n_rows
+FROM daily WHERE year >= 1996 GROUP BY 1, 2""",
     "stream_daily": """
 SELECT CAST(ts AS DATE) AS ds, event_type, COUNT(*) AS n_rows, ROUND(SUM(value), 2) AS total FROM events GROUP BY 1, 2""",
 }

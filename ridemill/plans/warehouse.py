@@ -1,13 +1,14 @@
 """The stored tables and the views on top of them.
 
-``daily_transactions`` and the rollups are Parquet; views are DataFrames registered as
-temporary views, so ad-hoc SQL and the functions of this package see the same names.
+``daily_transactions``, the monthly parts that all rollups are made of, and the rollups are
+Parquet and published together; views are DataFrames registered as temporary views, so ad-hoc
+SQL and the functions of this package see the same names.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,33 +16,21 @@ from pyspark.sql import functions as F
 from ridemill import schema as S
 from ridemill.operators import rollups as R
 from ridemill.operators import windows as W
+from ridemill.plans.store import Months, Publication, Store
 
 # Table and view names.
 DAILY, MONTHLY, PROVINCE = "daily_transactions", "monthly_transactions", "monthly_by_provincia"
-OPERATORS, HISTORICAL = "top_empresas", "monthly_historical"
+OPERATORS, HISTORICAL, PARTS = "top_empresas", "monthly_historical", "month_parts"
 VIEW_NAMES = ["v_total_daily", "v_yoy_monthly", "v_modal_split", "v_weekday_heatmap", "v_amba_vs_interior"]
 # End of fixed values.
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of a table that nothing refers to any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Idempotent overwrite; returns the stored table."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+TABLES = {
+    DAILY: S.DAILY, HISTORICAL: S.HISTORICAL,
+    PARTS: S.table_schema("year int, month int, modo string, nombre_empresa string, linea string, provincia string, amba string, total bigint, n bigint, days int"),
+    MONTHLY: S.table_schema("month_start date, year int, month int, modo string, total_usos bigint, avg_daily_usos double, days_with_data bigint, suspicious_days bigint"),
+    PROVINCE: S.table_schema("month_start date, year int, month int, modo string, provincia string, amba string, total_usos bigint, days_with_data bigint"),
+    OPERATORS: S.table_schema("nombre_empresa string, modo string, total_usos bigint, active_days bigint, num_lineas bigint"),
+}
 
 @dataclass
 class Warehouse:
@@ -49,16 +38,17 @@ class Warehouse:
     root: str
     modes: tuple[str, ...] = tuple(S.REPORT_MODES)
 
-    def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+    store: Store = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.store = Store(self.spark, self.root)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.store.read(name, TABLES[name])
 
     @property
     def daily(self) -> DataFrame:
-        stored = self.spark.read.schema(S.DAILY).parquet(self.path(DAILY))
-        return stored.select(*S.DAILY.fieldNames())  # partition columns are stored last
+        return self.table(DAILY)
 
     @property
     def monthly(self) -> DataFrame:
@@ -75,24 +65,20 @@ class Warehouse:
     @property
     def historical(self) -> DataFrame | None:
         """The historical table, or None where it was never loaded."""
-        if not exists(self.spark, self.path(HISTORICAL)):
-            return None
-        return self.spark.read.schema(S.HISTORICAL).parquet(self.path(HISTORICAL))
+        return self.table(HISTORICAL) if self.store.has(HISTORICAL) else None
 
     def load(self, fact: DataFrame) -> None:
         """Store the daily fact and rebuild the rollups from it. Safe to repeat."""
-        write_table(fact, self.path(DAILY), ["year"])
-        self.build_rollups()
-
-    def build_rollups(self) -> None:
-        """Each rollup is one column-pruned scan of the stored fact; the jobs run side by side."""
-        jobs = [(R.monthly_rollup, MONTHLY), (R.monthly_by_province, PROVINCE), (R.operator_totals, OPERATORS)]
-        with ThreadPoolExecutor(len(jobs)) as pool:
-            list(pool.map(lambda job: write_table(job[0](self.daily), self.path(job[1])), jobs))
+        changes = self.store.publish()
+        changes.replace_months(DAILY, fact.select(*S.DAILY.fieldNames()))
+        publish_rollups(changes, changes.read(DAILY, S.DAILY))
+        changes.commit()
 
     def load_historical(self, historical: DataFrame) -> DataFrame:
         """Store the historical table; returns the gaps longer than two months."""
-        write_table(historical, self.path(HISTORICAL))
+        changes = self.store.publish()
+        changes.replace(HISTORICAL, historical.select(*S.HISTORICAL.fieldNames()))
+        changes.commit()
         return W.series_gaps(self.historical)
 
     def monthly_read(self) -> DataFrame:
@@ -127,3 +113,16 @@ class Warehouse:
         """Ad-hoc SQL over the registered names."""
         self.register()
         return self.spark.sql(sql)
+
+
+def publish_rollups(changes: Publication, daily: DataFrame, touched: Months | None = None) -> None:
+    """The rollups after a change of the daily rows of the touched months (of all, if not given).
+
+    One scan of those rows makes the months' parts. The rollups are made of the parts of all
+    months, which are small beside the fact; the fact's other months are not read.
+    """
+    changes.replace_months(PARTS, R.month_parts(daily), touched)
+    parts = changes.read(PARTS, TABLES[PARTS])
+    rollups = {MONTHLY: R.monthly_from_parts, PROVINCE: R.provinces_from_parts, OPERATORS: R.operators_from_parts}
+    with ThreadPoolExecutor(len(rollups)) as pool:
+        list(pool.map(lambda name: changes.replace(name, rollups[name](parts).select(*TABLES[name].fieldNames())), rollups))

@@ -85,3 +85,11 @@ HISTORICAL = T.StructType([
     T.StructField("era", T.StringType()),
     T.StructField("source", T.StringType()),
 ])
+
+
+def table_schema(columns: str) -> T.StructType:
+    """A schema of plain columns from "name type, ..."; needs no session."""
+    kinds = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(),
+             "timestamp": T.TimestampType(), "array<int>": T.ArrayType(T.IntegerType())}
+    pairs = (column.split() for column in columns.split(", "))
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])

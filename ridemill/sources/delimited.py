@@ -89,28 +89,52 @@ def ends_inside(line: Column, separator: str, inside: bool) -> Column:
     return F.when(F.contains(line, F.lit('"')), last == INSIDE).otherwise(F.lit(inside))
 
 
+def profile(spark: SparkSession, paths: str | Sequence[str], separators: Sequence[str] = (",", ";")) -> DataFrame:
+    """One row per file block, from one pass: what headers and content hashes are made of.
+
+    The first line that is not blank, per separator whether a quoted field goes on over the end
+    of some line, the number of lines and order-aware sums of their hashes: two halves of each
+    hash, alone and times the line's number in the block's task, from which its number in the
+    file follows once the blocks before are counted.
+    """
+    value = F.col("value")
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"),
+        "value", F.xxhash64("value").alias("hash"))
+    filled = F.trim(value) != ""
+    half = {"low": F.col("hash").bitwiseAND(0x7FFFFFFF), "high": F.shiftrightunsigned("hash", 33)}
+    wide = "decimal(20,0)"
+    return lines.groupBy("path", "block").agg(
+        F.count("*").alias("n"), F.min("row").alias("first"),
+        F.min_by(F.when(filled, F.struct(decoded(value).alias("line"), F.is_valid_utf8(value).alias("is_utf8"))), F.when(filled, F.col("row"))).alias("head"),
+        F.array(*(F.bool_or(filled & ends_inside(decoded(value), sep, inside=False)) for sep in separators)).alias("opens"),
+        *[F.sum(h).cast("decimal(38,0)").alias(f"sum_{name}") for name, h in half.items()],
+        *[F.sum((h * F.col("row")).cast(wide)).cast("decimal(38,0)").alias(f"placed_{name}") for name, h in half.items()])
+
+
 def read_headers(
     spark: SparkSession,
     paths: Sequence[str],
     separators: Sequence[str] = (",", ";"),
     choose: Callable[[str, Sequence[str]], str] = pick_separator,
     strict: bool = False,
+    blocks: DataFrame | None = None,
 ) -> list[Header]:
     """Headers of all files under ``paths`` that have a line, in path order, by one job.
 
     A file whose header cannot be split, or whose last quoted field is never closed, is
-    skipped, or an error if ``strict``.
+    skipped, or an error if ``strict``. ``blocks``: their :func:`profile`, with the same
+    separators, where it is there already; it may hold more files.
     """
-    value = F.col("value")
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"), "value")
-    opens = F.array(*(F.bool_or(ends_inside(decoded(value), sep, inside=False)) for sep in separators))
-    found = lines.filter(F.trim(value) != "").groupBy("path").agg(
-        F.min_by(F.struct(decoded(value).alias("line"), F.is_valid_utf8(value).alias("is_utf8")), F.struct("block", "row")).alias("head"),
-        opens.alias("opens"))
+    known = profile(spark, paths, separators) if blocks is None else blocks
+    found = known.filter(F.col("head").isNotNull()).groupBy("path").agg(
+        F.min_by("head", "block").alias("head"),
+        F.array(*(F.bool_or(F.col("opens")[i]) for i in range(len(separators)))).alias("opens"))
     headers = []
     for row in found.orderBy("path").collect():  # one row per file, as the file listing itself
+        if blocks is not None and readable(row["path"]) not in paths:
+            continue
         try:
             sep = choose(row["head"]["line"], separators)
         except ValueError as error:
