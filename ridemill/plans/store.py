@@ -130,6 +130,10 @@ class Publication:
         """A table as it will be."""
         return read_entries(self.spark, self.root, [e for e in self.entries if e.table == table], schema or self.schemas[table])
 
+    def written(self, table: str) -> DataFrame:
+        """The rows that this publication has written to a table."""
+        return read_entries(self.spark, self.root, [e for e in self.entries if e.table == table and e.gen == self.gen], self.schemas[table])
+
     def commit(self) -> None:
         """Make the changes current, then remove folders that neither this nor the last publication uses.
 

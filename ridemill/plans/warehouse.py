@@ -71,7 +71,7 @@ class Warehouse:
         """Store the daily fact and rebuild the rollups from it. Safe to repeat."""
         changes = self.store.publish()
         changes.replace_months(DAILY, fact.select(*S.DAILY.fieldNames()))
-        publish_rollups(changes, changes.read(DAILY, S.DAILY))
+        publish_rollups(changes, changes.written(DAILY))
         changes.commit()
 
     def load_historical(self, historical: DataFrame) -> DataFrame:
