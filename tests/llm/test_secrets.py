@@ -79,3 +79,21 @@ def test_no_python_on_the_main_path(spark, model):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     plan = secret_scan.scan(df, model)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow(Eval|Map|In)", plan)
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_query_against_planted_secrets(spark, scale):
+    """Every announced 40-digit key of the given documents, and nothing else, at its place."""
+    from ridemill.llm import catalog
+
+    folder = f"/root/testdata/sf{scale}"
+    planted = re.compile("(?:token = \"(?=[0-9a-f]{40}\")|TOKEN = \"(?=[0-9A-F]{40}\"))(.{40})")
+    expected = []
+    for doc in catalog.read(spark, folder, "documents").collect():
+        for m in planted.finditer(doc["text"] or ""):
+            expected.append((doc["doc_id"], m.start(1), 40, hashlib.sha256(m[1].encode()).hexdigest()))
+    found = catalog.op7_secret_scan(spark, folder)
+    assert found.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("length", "bigint"), ("secret_sha256", "string"), ("score", "double")]
+    rows = found.collect()
+    assert sorted(tuple(r)[:4] for r in rows) == sorted(expected) and all(0.5 <= r.score <= 1 for r in rows)
+    assert expected or scale == "0.001"
