@@ -24,8 +24,8 @@ from ridemill.llm import spans
 
 SYMBOLS = 128
 GRAMS = SYMBOLS**3 + SYMBOLS**2 + SYMBOLS  # codes of trigrams, then bigrams, then single letters
-SLICE = 1 << 20  # bytes of text that are scored at once
-CELLS = 1 << 22  # entries of a presence matrix, about
+SLICE = 1 << 17  # bytes of text that are scored at once
+CELLS = 1 << 20  # entries of a presence matrix, about
 UNKNOWN = "und"
 
 
@@ -83,8 +83,8 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, ridge:
     """Fit on a bounded sample: ``per_language`` labelled texts of each language, those with the lowest hash of ``doc_id``.
 
     ``landmarks`` of them per language span the Nystroem features. Rows without text,
-    language or id, or with a text without letters, teach nothing. Only the codes of the
-    sampled texts' n-grams come to the driver.
+    language or id, or with a text without letters, teach nothing; of rows that repeat an id
+    and language one teaches. Only the codes of the sampled texts' n-grams come to the driver.
     """
     place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 32)) / F.lit(float(1 << 32))  # of a row in the sampling order, 0 to 1
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).withColumn("__h", place)
@@ -93,12 +93,12 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, ridge:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     by_lang = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col(lang)]
     # about twice the wanted rows of each language, so that ranking them is little work at any size
-    some = known.select(lang, "__h").where(F.col("__h") < by_lang({k: 2.0 * per_language / n for k, n in totals.items()}))
+    some = known.select(lang, "__h").where(F.col("__h") < by_lang({k: 2.0 * per_language / n for k, n in totals.items()})).distinct()
     ranked = some.withColumn("__n", F.row_number().over(W.partitionBy(lang).orderBy("__h"))).where(F.col("__n") <= per_language)
     edges = {r[0]: r[1] for r in ranked.groupBy(lang).agg(F.max("__h")).collect()}
     if not edges:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    rows = known.where(F.col("__h") <= by_lang(edges)).select(F.col(lang).alias("lang"), F.col("__h").alias("h"), F.col(text).alias("text"))
+    rows = known.where(F.col("__h") <= by_lang(edges)).dropDuplicates([lang, "__h"]).select(F.col(lang).alias("lang"), F.col("__h").alias("h"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,20 +139,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str,
 
     A text that is null or has no letter is ``und`` with score 0, as is every text under a
     model that has seen no language. Equal scores go to the first language in alphabetic
-    order. Repeated rows and null keys are kept; other columns are left out. No shuffle.
+    order. Repeated rows and null keys are kept; other columns are left out. No shuffle. A
+    text that is among the keys is sent to the workers once.
     """
-    rows = docs.select(*keys, F.col(text).alias("__text"))
+    own = text if text in keys else "__text"
+    rows = docs.select(*keys) if text in keys else docs.select(*keys, F.col(text).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans.release()
         place = _places(model.grams)
         width = len(model.grams)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for whole in spans.slices(batch, "__text", SLICE):
+            for whole in spans.slices(batch, own, SLICE):
                 step = max(1, CELLS // max(width, 1))
                 for start in range(0, whole.num_rows, step):
                     part = whole.slice(start, step)
-                    codes, row, lettered = grams(part.column("__text"))
+                    codes, row, lettered = grams(part.column(own))
                     best, score = np.full(part.num_rows, len(model.languages)), np.zeros(part.num_rows)
                     if model.languages:
                         present = _presence(codes, row, part.num_rows, place, width)
@@ -163,7 +166,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str,
                     yield pa.RecordBatch.from_arrays(
                         [*(part.column(k) for k in keys), pa.array(names[best], pa.string()), pa.array(score.astype(float))], names=[*keys, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from functools import cache
 
@@ -14,6 +16,15 @@ LETTER, NUMBER, SPACE, OTHER, UNSURE = 1, 2, 3, 0, 4
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
+def release() -> None:
+    """Give memory back that earlier work of this Python worker has freed but its allocators still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
