@@ -16,6 +16,12 @@ from ridemill.session import fresh_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MARK = "[SECRET]"
+BATCH_ROWS = 1000  # texts that go to a worker at once: some MB of them
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts are rows here: Spark's own batches of 10,000 rows would take a large part of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,20 +30,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the rows that op2 may learn from. A null or wrong ``lang`` stays as
     it is: a document is judged by its text alone.
     """
+    bounded_batches(spark)
     model = langid.train(docs.where(~langid.held_out()))
     if not model.languages:  # nothing to learn from: only the lack of letters can be told
         return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs.select(*COLUMNS, F.col("text").alias("__read")), model, text="__read", keys=tuple(COLUMNS))
+    found = langid.predict(docs.select(*COLUMNS), model, keys=tuple(COLUMNS))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
+    bounded_batches(spark)
     return simhash.keep_one(docs.select(*COLUMNS), shingle=3, seed=42)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, at similarity 0.8 or more, go."""
+    bounded_batches(spark)
     return decontaminate.clean(docs.select(*COLUMNS), catalog.read(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
@@ -51,6 +60,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, packed into sequences of 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, catalog.TOKENIZER, capacity=1024, end_id=2)
 
 
