@@ -7,7 +7,8 @@ done. Every edit that costs c destroys at most c of the item's word trigrams, so
 similarity s keeps all but 3 (1 - s) L of them. Of each item those trigrams are seeds that
 are rarest in the whole corpus: so many that at least half of what any such copy must keep
 are among them. Regions of documents with fewer seeds cannot be such copies; the others are
-aligned. Nothing that reaches the similarity is lost.
+aligned. Nothing that reaches the similarity is lost but for items of four or five words: one
+allowed edit can destroy all their trigrams, and such an edited copy is not found.
 """
 
 from __future__ import annotations

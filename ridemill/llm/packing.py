@@ -93,7 +93,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, text
     """
     table = stage(pieces(docs, path, capacity, end_id, text, doc_id), "pieces")
     groups = max(1, -(-table.count() // GROUP))
-    dealt = table.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # by their place in the staged table as well, so that equal rows spread over the groups
+    dealt = table.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], na_position="first", ignore_index=True)
