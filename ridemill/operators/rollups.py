@@ -116,7 +116,7 @@ def daily_by_mode(daily: DataFrame, modes: Sequence[str], ds: str = "fecha", key
 
 def daily_series(daily: DataFrame, modes: Sequence[str], ds: str = "fecha", key: str = "modo",
                  value: str = "cantidad_usos") -> DataFrame:
-    """One series per mode and the series ALL, from one scan (grouping sets after filtering)."""
+    """One series per mode and the series ALL, from one scan: each daily sum counts for its mode and for ALL."""
     rows = in_modes(trusted(daily), modes, key).groupBy(ds, key).agg(F.sum(value).alias("y"))
     both = F.explode(F.array(F.col(key), F.lit("ALL"))).alias("series")
     return (rows.select(F.col(ds).alias("ds"), both, "y")

@@ -138,3 +138,27 @@ def test_rounding_is_scale_round_unscale(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(N.sql_round(F.col("v"), 2)).collect()]
     assert got == [math.copysign(math.floor(abs(v) * 100 + 0.5) / 100, v) for v in values]
+
+
+def test_ridge_equals_the_solved_system_of_the_rows(spark):
+    """Coefficients and noise from summed products are those of the rows themselves."""
+    rng = np.random.default_rng(2)
+    k = FC.HINGES_FROM + 2
+    data, rows = {}, []
+    for name, n in (("TREN", 60), ("X", 40)):
+        x = np.concatenate([np.ones((n, 1)), rng.random((n, k - 1))], axis=1)
+        y = np.exp(x @ rng.normal(0, 0.3, k) + rng.normal(0, 0.05, n) + 5)
+        data[name] = x, np.log(y)
+        rows += [(name, v.tolist(), float(t), False, 0.0, float(n)) for v, t in zip(x, y)]
+    features = spark.createDataFrame(rows, "series string, x array<double>, y double, is_forecast boolean, _shift double, _months double").repartition(3)
+    fitted = {r.series: r for r in FC.fit_ridge(features, {"TREN": 0.1}, 0.05).collect()}
+    for name, (x, z) in data.items():
+        penalty = np.full(k, FC.BASE_PENALTY)
+        penalty[0], penalty[FC.HINGES_FROM:] = 0, FC.HINGE_NOISE / (0.1 if name == "TREN" else 0.05) ** 2
+        system = x.T @ x + np.diag(penalty)
+        beta = np.linalg.solve(system, x.T @ z)
+        used = np.trace(np.linalg.solve(system, x.T @ x))
+        np.testing.assert_allclose(fitted[name].beta, beta, rtol=1e-6, atol=1e-9)
+        assert fitted[name].noise == pytest.approx(((z - x @ beta) ** 2).sum() / (len(z) - used), rel=1e-6)
+        slopes = np.abs(beta[FC.HINGES_FROM:]) / len(z)
+        assert fitted[name].drift == pytest.approx(2 * slopes.mean() ** 2 * 2 / len(z), rel=1e-6)

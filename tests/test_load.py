@@ -109,3 +109,11 @@ def test_heatmap_averages_days(spark, rows):
     data = [(DAY(2024, 1, d), m, n, False, "A", "1", "SI", "P") for d, m, n in ((1, "TREN", 10), (1, "SUBTE", 20), (8, "TREN", 50))]
     pivot = R.heatmap_pivot(R.daily_by_mode(fact(spark, data), S.REPORT_MODES), S.REPORT_MODES)
     assert rows(pivot, "day_of_week", "m1", "m2") == [(0, 40.0, None)]
+
+
+def test_rollups_from_parts_equal_those_of_the_rows(wh, rows):
+    """Days by bits and lines by merged rows: the same as distinct counts over the fact, also in one part per row."""
+    parts = R.month_parts(wh.daily)
+    for direct, merged in ((R.monthly_rollup, R.monthly_from_parts), (R.monthly_by_province, R.provinces_from_parts), (R.operator_totals, R.operators_from_parts)):
+        want = direct(wh.daily)
+        assert rows(merged(parts), *want.columns) == rows(want)
