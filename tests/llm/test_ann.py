@@ -54,6 +54,24 @@ def test_ties_bad_vectors_and_repeats(spark):
     assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in expected.items()}
 
 
+def test_more_vectors_than_any_fitting_sample_holds(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 1024)
+    rows = list(enumerate(np.random.default_rng(5).standard_normal((9000, 16)).astype(np.float32)))  # without clusters
+    found, expected = run(spark, rows), truth(rows, 20)
+    assert found.keys() == expected.keys() and all(len(v) == 20 for v in found.values())
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in expected[q]}) / 20 for q in found]) >= 0.9
+
+
+def test_the_probed_share_of_clustered_vectors_falls_as_they_grow(spark):
+    shares = []
+    for n in (1000, 16000):
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors(n, 16, 4, clusters=40))], "vec_id bigint, v array<double>")
+        index = ann.fit(df)
+        assert abs(len(index.centroids) - n**0.5) < 1
+        shares.append(ann.calibrate(ann.assign(df, index), index, 20) / len(index.centroids))
+    assert shares[1] < shares[0] / 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_few_vectors(spark, n):
     rows = list(enumerate(vectors(n, 16, 2)))
