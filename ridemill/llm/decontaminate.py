@@ -1,14 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case without punctuation. An alignment scores 2 for a match, -1
-for a mismatch and -2 for a word left out or put in; its similarity to an item of L words is
-1 - (2 L - score) / (3 L), the share of words that were not replaced when nothing else was
-done. Every edit that costs c destroys at most c of the item's word trigrams, so a copy at
-similarity s keeps all but 3 (1 - s) L of them. Of each item those trigrams are seeds that
-are rarest in the whole corpus: so many that at least half of what any such copy must keep
-are among them. Regions of documents with fewer seeds cannot be such copies; the others are
-aligned. Nothing that reaches the similarity is lost but for items of four or five words: one
-allowed edit can destroy all their trigrams, and such an edited copy is not found.
+Words are compared in lower case without punctuation, of any script; where a script sets no
+spaces (Han, kana, Thai, Lao, Khmer, Myanmar) every character is a word. An alignment scores
+2 for a match, -1 for a mismatch and -2 for a word left out or put in; its similarity to an
+item of L words is 1 - (2 L - score) / (3 L), the share of words that were not replaced when
+nothing else was done, so a copy at similarity s may lose 3 (1 - s) L of its score. An edit
+that costs c destroys at most c of the item's word trigrams, 2 c / 3 of its bigrams and c / 2
+of its words. Seeds are trigrams where every such copy keeps one, or else bigrams, or else
+words. Of each item those are seeds that are rarest in the whole corpus: so many that at
+least half of what any such copy must keep are among them. Regions of documents with fewer
+seeds cannot be such copies; the others are aligned. Nothing that reaches the similarity is
+lost.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from ridemill.llm import spans
 from ridemill.session import stage
 
 SEED_WORDS = 3
+DESTROYED = {3: 1.0, 2: 2 / 3, 1: 1 / 2}  # runs of so many words that an edit destroys, at most, per point of its cost
+LEAST_EDIT = 2  # what the cheapest edit costs
+BETWEEN = r"[^\pL\pN\pM]+"
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 SLICE = 1 << 20  # bytes of text that are hashed at once
 FILTER_BITS = 23  # a filter of one megabyte, whatever the number of seeds or documents
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
@@ -46,7 +52,13 @@ class Words:
     """Word ranges and word hashes of the texts of a column, in lower case."""
 
     def __init__(self, texts: pa.Array):
-        self.data, self.offsets = spans.flat(pc.utf8_lower(texts))
+        lower = pc.utf8_lower(texts)
+        data, _ = spans.flat(lower)
+        if (data >= 0x80).any():  # only then can there be marks or letters that bytes don't tell
+            lower = pc.replace_substring_regex(lower, BETWEEN, " ")
+            if ((data >= 0xE0) & (data != 0xE2)).any():  # first bytes of scripts without spaces
+                lower = pc.replace_substring_regex(lower, UNSPACED, r" \1 ")
+        self.data, self.offsets = spans.flat(lower)
         data = self.data
         solid = (data >= 0x80) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
         self.starts, self.ends, self.counts = spans.words(np.where(solid, data, 32).astype(np.uint8), self.offsets)
@@ -56,34 +68,41 @@ class Words:
         inverse = _powers(pow(int(BASE), -1, 1 << 64), n)
         self.hashes = _mix((prefix[self.ends] - prefix[self.starts]) * inverse[self.starts])
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word and hash of each run of SEED_WORDS words."""
+    def seeds(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and hash of each run of ``length`` words."""
         first = np.cumsum(self.counts) - self.counts
-        per_text = np.maximum(self.counts - SEED_WORDS + 1, 0)
+        per_text = np.maximum(self.counts - length + 1, 0)
         at = spans.places(first, per_text)
-        value = np.zeros(len(at), np.uint64)
-        for k in range(SEED_WORDS):
+        value = np.full(len(at), SEED_WORDS - length, np.uint64)
+        for k in range(length):
             value = value * np.uint64(0xD6E8FEB86659FD93) + self.hashes[at + k]
         text = np.repeat(np.arange(len(per_text)), per_text)
         return text, at - first[text], _mix(value).view(np.int64)
 
 
-def _seed_rows(rows: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """(id, n_words, pos, seed) of each row (id, text); with a filter, of seeds that may be in it."""
+def _seed_rows(rows: DataFrame, lengths: list[int], bits: np.ndarray | None) -> DataFrame:
+    """(id, n_words, seed_words, pos, seed) of each row (id, text); with a filter, of seeds that may be in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.slices(batch, "text", SLICE):
                 words = Words(part.column("text"))
-                text, pos, seed = words.seeds()
-                if bits is not None:
-                    hit = _in_filter(bits, seed)
-                    text, pos, seed = text[hit], pos[hit], seed[hit]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(text)), pa.array(words.counts[text], pa.int64()), pa.array(pos, pa.int64()), pa.array(seed)],
-                    names=["id", "n_words", "pos", "seed"])
+                for length in lengths:
+                    text, pos, seed = words.seeds(length)
+                    if bits is not None:
+                        hit = _in_filter(bits, seed)
+                        text, pos, seed = text[hit], pos[hit], seed[hit]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id").take(pa.array(text)), pa.array(words.counts[text], pa.int64()), pa.array(np.full(len(text), length)), pa.array(pos, pa.int64()), pa.array(seed)],
+                        names=["id", "n_words", "seed_words", "pos", "seed"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, pos bigint, seed bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, seed_words bigint, pos bigint, seed bigint")
+
+
+def _lost(similarity: float, length: int) -> Column:
+    """How many of an item's runs of ``length`` words a copy at the similarity can lack."""
+    cost = 3 * (1 - similarity) * F.col("n_words") + 1e-9
+    return F.when(cost < LEAST_EDIT, 0).otherwise(F.floor(cost * DESTROYED[length]))
 
 
 def _filter(hashes: Column, rows: DataFrame) -> np.ndarray:
@@ -132,12 +151,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
     loss = 3 * (1 - similarity)
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id", "text"])
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    own = stage(_seed_rows(items, None), "item-seeds")
-    hits = stage(_seed_rows(rows, _filter(F.col("seed"), own)).select("id", "pos", "seed"), "hits")
+    kept = {k: F.col("n_words") - (k - 1) - _lost(similarity, k) for k in DESTROYED}  # of an item's runs of k words, at least
+    fit = F.coalesce(*(F.when(kept[k] >= 1, F.lit(k)) for k in (3, 2)), F.lit(1))
+    own = stage(_seed_rows(items, [3, 2, 1], None).where((F.col("n_words") >= SEED_WORDS) & (F.col("seed_words") == fit)), "item-seeds")
+    lengths = sorted(r[0] for r in own.select("seed_words").distinct().collect())  # of 3, 2, 1
+    hits = stage(_seed_rows(rows, lengths, _filter(F.col("seed"), own)).select("id", "pos", "seed"), "hits")
 
     # the rarest seeds of each item, so many that ``need`` of them outlive every allowed edit
-    lost = F.floor(F.col("n_words") * F.lit(loss) + 1e-9)
-    need = F.greatest(F.lit(1), F.ceil((F.col("n_words") - (SEED_WORDS - 1) - lost) / 2))
+    chosen = lambda by_length: F.coalesce(*(F.when(F.col("seed_words") == k, by_length(k)) for k in DESTROYED))
+    lost = chosen(lambda k: _lost(similarity, k))
+    need = F.greatest(F.lit(1), F.ceil(chosen(kept.get) / 2))
     frequency = hits.groupBy("seed").agg(F.count("*").alias("n"))
     ranked = own.join(frequency, "seed").withColumn("k", F.row_number().over(W.partitionBy("id", "n_words").orderBy("n", "pos")))
     absent = own.join(frequency, "seed", "left_anti").groupBy("id", "n_words").agg(F.count("*").alias("absent"))

@@ -72,6 +72,37 @@ def test_against_brute_force(spark, case):
     assert D.leaks(df.limit(0), benchmark).collect() == [] and D.leaks(df, benchmark.limit(0)).collect() == []
 
 
+def test_short_items_against_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.sample("abcdefgh", n))) for i, n in enumerate([3, 4, 4, 4, 5, 5, 5, 6, 7] * 3)]
+    docs = [(0, "a b X d e"), (1, "a b X c d")]
+    for d in range(2, 300):
+        copy = rng.choice(items)[1].split()
+        copy.insert(rng.randrange(len(copy) + 1), "x") if d % 2 else copy.__setitem__(rng.randrange(len(copy)), "y")
+        docs.append((d, " ".join(["z"] * rng.randrange(9) + copy + ["w", "z"])))
+    items += [(100, "a b c d e"), (101, "a b c d")]
+    found = D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    expected = brute(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == {k: round(v, 9) for k, v in expected.items()}
+    assert (0, 100) in expected and (1, 101) in expected
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.45])
+def test_low_similarities(spark, similarity):
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))) for i, n in enumerate([3, 4, 6, 9, 12])]
+    docs = [(d, " ".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(30))) for d in range(60)]
+    found = D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), similarity).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == {k: round(v, 9) for k, v in brute(docs, items, similarity).items()}
+
+
+def test_other_spaces_marks_and_scripts(spark):
+    item = "the quick brown fox jumps over it"
+    docs = [(0, item.replace(" ", "\u00a0")), (1, "\u201cthe quick\u201d brown \u2014 fox\u2014jumps\u3000over\u2026it\u00bb"), (2, "so: 我们今天去公园散步吧。再见"), (3, "the quick brown"), (4, "ไป " + "สวัสดีครับ" + "นะ")]
+    found = D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item), (8, "我们今天去公园散步"), (9, "สวัสดีครับ")], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in found} == {(0, 7, 1.0), (1, 7, 1.0), (2, 8, 1.0), (4, 9, 1.0)}
+
+
 def test_alignment_in_batches():
     rng = np.random.default_rng(0)
     left = [rng.integers(2, 9, rng.integers(3, 20)).astype(np.uint64) for _ in range(60)]
