@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ridemill.functions import tails
 from ridemill.llm import spans
 from ridemill.llm.decontaminate import _filter, _in_filter
 from ridemill.session import stage
@@ -269,14 +270,17 @@ def perplexities(docs: DataFrame, model: DataFrame, unseen: float, keys: tuple[s
     return answers.union(texts).repartition("block").sortWithinPartitions("block", "shard").mapInArrow(score, f"{schema}, perplexity double")
 
 
-def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.25, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row of ``docs``.
 
     The model is trained on the texts of ``trusted_ids`` (doc_id) but for the quarter whose
     CRC-32 leaves 2 when divided by 4; on that quarter the threshold of each language is
-    ``slack`` times the ``quantile`` of its perplexities. A language without such documents
-    gets the threshold of all of them; a null language is one of its own. Without trusted
-    text nothing can be judged: perplexity and threshold are null and every row is kept.
+    the ``quantile`` of its perplexities. Where they are too few to show it (fewer than
+    1 / (1 - quantile)), it is the upper prediction bound of that level for their logarithms
+    (Student's t), at least the largest seen. A language with fewer than two such documents
+    gets the threshold of all of them; a null language is one of its own. With fewer than two
+    in all nothing can be judged: the threshold is null and every row is kept; without trusted
+    text to learn from the perplexity is null, too.
     Null and empty texts are judged by their end alone. Repeated rows stay, other columns are
     left out, an empty table gives no rows.
     """
@@ -296,11 +300,12 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sla
         return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     scored = stage(perplexities(rows, model, unseen, ("doc_id", "lang")), "perplexities")
     judged = scored.join(own.where(apart), scored["doc_id"] == F.col("__id"), "left_semi")
-    level = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
-    per_lang = judged.groupBy(F.col("lang").alias("__lang")).agg(level.alias("own"))
-    overall = judged.agg(level.alias("all"))  # one row
-    spark = docs.sparkSession
-    limits = spark.createDataFrame([(r["__lang"], r["own"]) for r in per_lang.collect()], "__lang string, own double")  # one row per language
-    everywhere = overall.first()["all"]
-    joined = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(everywhere).cast("double")))
+    logs = F.ln("perplexity")
+    parts = [F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("seen"), F.count("*").alias("n"), F.mean(logs).alias("mean"), F.stddev(logs).alias("sd")]
+    t = tails.student_critical(F.col("n") - 1, 2 * (1 - quantile))
+    bound = F.when(F.col("n") > 1, F.greatest(F.col("seen"), F.exp(F.col("mean") + t * F.col("sd") * F.sqrt(1 + 1 / F.col("n")))))
+    level = F.when(F.col("n") * F.lit(1 - quantile) >= 1 - 1e-9, F.col("seen")).otherwise(bound)
+    limits = stage(judged.groupBy(F.col("lang").alias("__lang")).agg(*parts).select("__lang", level.alias("own")), "limits")  # one row per language
+    everywhere = judged.agg(*parts).select(level.alias("all")).first()["all"]
+    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(everywhere).cast("double")))
     return joined.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
