@@ -22,8 +22,6 @@ from ridemill.llm import pretokens, spans
 SLICE = 4 << 20  # bytes of text encoded at once
 SHARD_TOKENS = 1 << 20  # a shard ends with the document that reaches so many ids
 LEAST_COUNT = 16  # a pair must occur so often to become a rule
-ROUNDS = 6
-TABLE_BITS = 20
 FILE_SCHEMA = ("part bigint, part_start bigint, base bigint, width int, doc_ids array<bigint>, doc_tokens array<bigint>, "
                "doc_symbols array<bigint>, rules binary, rule_lengths binary, symbols binary")
 
@@ -32,40 +30,66 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, most_rules: int = 1
     """Symbols, symbols per document and rules for the documents of ``sizes`` ids each.
 
     Each round gives a nonterminal to every pair that still occurs ``LEAST_COUNT`` times,
-    most frequent first, and replaces its occurrences from the left.
+    most frequent first, and replaces its occurrences, of overlapping ones every other one
+    from the left. A pair that keeps under half of that count waits for the next round. All
+    other occurrences overlap replaced ones, so only pairs with a new symbol and pairs that
+    wait can be frequent in the next round. Rounds end when no pair is, or with ``most_rules`` rules.
     """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     filled = sizes[sizes > 0]
     last[np.cumsum(filled) - 1] = True
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    rules = np.zeros((0, 2), np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or len(rules) >= most_rules:
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    rules, n_rules = [np.zeros((0, 2), np.int64)], 0
+    at = np.flatnonzero(~last[:-1])
+    while len(at) >= LEAST_COUNT and n_rules < most_rules:
+        pair, place = _sorted_pairs(seq[at], seq[at + 1], at, (base + n_rules).bit_length())
+        start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        count = np.diff(start, append=len(pair))
+        often = np.flatnonzero(count >= LEAST_COUNT)
+        if not len(often):
             break
-        key = seq[:-1] << 32 | seq[1:]
-        spot = (key * 0x9E3779B1 >> 13) & ((1 << TABLE_BITS) - 1)  # a cheap count that is never too low
-        often = (np.bincount(spot, minlength=1 << TABLE_BITS)[spot] >= LEAST_COUNT) & ~last[:-1]
-        at = np.flatnonzero(often)
-        pairs, which, count = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")[: most_rules - len(rules)]
-        order = order[count[order] >= LEAST_COUNT]
-        if not len(order):
-            break
-        number = np.full(len(pairs), -1, np.int64)
-        number[order] = base + len(rules) + np.arange(len(order))
-        chosen = number[which]
-        at, chosen = at[chosen >= 0], chosen[chosen >= 0]
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # overlapping pairs: every other one of a run
-        turn = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, chosen = at[turn % 2 == 0], chosen[turn % 2 == 0]
-        rules = np.concatenate([rules, np.stack([pairs[order] >> 32, pairs[order] & 0xFFFFFFFF], 1)])
-        seq[at] = chosen
-        last[at] |= last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last, doc = seq[keep], last[keep], doc[keep]
-    return seq, np.bincount(doc, minlength=len(sizes)), rules
+        often = often[np.argsort(-count[often], kind="stable")][: most_rules - n_rules]
+        start, count = start[often], count[often]
+        found = place[start]
+        new = np.stack([seq[found], seq[found + 1]], 1)
+        number = np.zeros(len(seq) + 1, np.int32)  # 1 is the most frequent pair, 0 none
+        number[place[spans.places(start, count)]] = np.repeat(np.arange(1, len(often) + 1, dtype=np.int32), count)
+        chosen = _without_overlap(number)
+        uses = np.bincount(number[chosen], minlength=len(new) + 1)
+        good = uses >= LEAST_COUNT // 2
+        good |= not good.any()  # no round is without a replacement
+        waits = chosen[~good[number[chosen]]]
+        chosen = chosen[good[number[chosen]]]
+        symbol = base + n_rules - 1 + np.cumsum(good[1:])
+        rules.append(new[good[1:]])
+        n_rules += len(rules[-1])
+        seq[chosen] = symbol[number[chosen] - 1]
+        last[chosen] |= last[chosen + 1]
+        fresh, keep = np.zeros(len(seq), bool), np.ones(len(seq), bool)
+        fresh[chosen], fresh[waits], fresh[waits + 1], keep[chosen + 1] = True, True, True, False
+        seq, last, doc, fresh = seq[keep], last[keep], doc[keep], fresh[keep]
+        at = np.flatnonzero(~last[:-1] & (fresh[:-1] | fresh[1:]))
+    return seq, np.bincount(doc, minlength=len(sizes)), np.concatenate(rules)
+
+
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs as sorted numbers, and the place of each; places ascend among equal pairs."""
+    pair = left << bits | right
+    place_bits = int(at[-1]).bit_length()
+    if 2 * bits + place_bits < 64:  # both fit into one number, which sorts faster than an order of pairs
+        both = np.sort(pair << place_bits | at)
+        return both >> place_bits, both & ((1 << place_bits) - 1)
+    order = np.argsort(pair, kind="stable")
+    return pair[order], at[order]
+
+
+def _without_overlap(number: np.ndarray) -> np.ndarray:
+    """Places that hold a number, every other one of a run of adjacent places."""
+    at = np.flatnonzero(number)
+    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    turn = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+    return at[turn % 2 == 0]
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +156,8 @@ def write_files(docs: DataFrame, out: str, path: str, end_id: int = 2, text: str
     def shard(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]], part: int, start: int, base: int) -> tuple[dict, int]:
         ids = np.concatenate([p[1] for p in parts])
         sizes = np.concatenate([p[2] for p in parts])
-        narrow = base < 1 << 16
-        symbols, per_doc, rules = compress(ids, sizes, base, (1 << 16) - base if narrow else 1 << 31)
+        symbols, per_doc, rules = compress(ids, sizes, base)
+        narrow = base + len(rules) <= 1 << 16
         row = {
             "part": part, "part_start": start, "base": base, "width": 2 if narrow else 4,
             "doc_ids": [i for p in parts for i in p[0].to_pylist()], "doc_tokens": sizes, "doc_symbols": per_doc,

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,23 @@ def test_grammar_round_trip(sizes, kinds):
         assert len(rules) and len(symbols) < 0.5 * len(given)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_no_frequent_pair_is_left(seed):
+    rng = np.random.default_rng(seed)
+    passages = [rng.integers(0, 300, rng.integers(2, 400)) for _ in range(4)]
+    parts = [np.tile(rng.integers(0, 3, 2), 40), np.zeros(333, np.int64)]
+    parts += [p if rng.random() < 0.5 else np.concatenate([p, rng.integers(0, 300, 9)]) for p in (passages[k] for k in rng.integers(0, 4, 200))]
+    sizes, given = np.array([len(p) for p in parts]), np.concatenate(parts).astype(np.uint32)
+    symbols, per_doc, rules = repair.compress(given, sizes, 300)
+    assert repair.expand(symbols, rules, 300).tolist() == given.tolist()
+    pairs, ends = Counter(), np.cumsum(per_doc)
+    for end, size in zip(ends, per_doc):
+        pairs.update(zip(symbols[end - size : end - 1].tolist(), symbols[end - size + 1 : end].tolist()))
+    assert max(pairs.values(), default=0) < repair.LEAST_COUNT
+    assert repair.expansions(rules, 300)[2].max() >= min(max(map(len, passages)), 200)  # whole copies become one symbol, not just 64 ids
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
 def test_rule_budget():
     given = np.tile(np.arange(40, dtype=np.uint32), 500)
     symbols, _, rules = repair.compress(given, np.array([len(given)]), 40, most_rules=7)
