@@ -84,6 +84,7 @@ def _seed_rows(rows: DataFrame, lengths: list[int], bits: np.ndarray | None) ->
     """(id, n_words, seed_words, pos, seed) of each row (id, text); with a filter, of seeds that may be in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans.release()
         for batch in batches:
             for part in spans.slices(batch, "text", SLICE):
                 words = Words(part.column("text"))
@@ -181,7 +182,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
             yield batch.filter(pa.array(_in_filter(bits, batch.column("h").to_numpy()))).select(["id", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    texts = rows.withColumn("h", F.xxhash64("id")).mapInArrow(may, f"id {kind}, text string")
+    # staged, as the pieces are: a task runs one Python worker at a time, not three
+    texts = stage(rows.withColumn("h", F.xxhash64("id")).mapInArrow(may, f"id {kind}, text string"), "texts")
     per_doc = regions.groupBy("id").agg(F.collect_list(F.struct("item", "low", "high")).alias("regions"))  # bounded by the document's own words
     item_kind = items.schema["id"].dataType.simpleString()
 
@@ -197,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (part.schema.field("id").type, None, pa.int64(), pa.binary()))],
                                                      names=["id", "item", "low", "passage"])
 
-    pieces = texts.join(per_doc, "id").mapInArrow(passages, f"id {kind}, item {item_kind}, low bigint, passage binary")
+    pieces = stage(texts.join(per_doc, "id").mapInArrow(passages, f"id {kind}, item {item_kind}, low bigint, passage binary"), "pieces")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
             ends = np.cumsum(words.counts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([words.hashes[e - c : e].tobytes() for e, c in zip(ends, words.counts)], pa.binary())], names=["item", "words"])
 
-    both = pieces.join(items.mapInArrow(hashed, f"item {item_kind}, words binary"), "item")
+    both = pieces.join(stage(items.mapInArrow(hashed, f"item {item_kind}, words binary"), "item-words"), "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
