@@ -8,18 +8,23 @@ Where records span lines the file is still read in splits. A line without quotes
 state, inside or outside of a quoted field, as it is; another one exchanges the two states or
 leads to one of them whatever came before. These effects compose, so a block's effect is known
 from its own lines, the state at its start from the blocks before, and then the state at each
-of its lines. Only the lines of records that go on are brought together.
+of its lines. Lines are joined where they are read; only what goes on over a block's end is
+brought together.
 """
 
 from __future__ import annotations
 
 import csv
+import itertools
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,16 +193,98 @@ def _states(df: DataFrame, keys: Sequence[str], order: str, start: Column) -> Da
 def _blocks(lines: DataFrame) -> DataFrame:
     """The state at the start and end of each file block that has a line with an effect, from those lines alone.
 
-    A window holds such lines of one block, or the blocks of one file.
+    A block's lines are composed where they are read; a window holds the blocks of one file.
     """
     special = lines.filter((F.col("from_outside") != 0) | (F.col("from_inside") != 1))
-    rows = _states(special, [PATH, BLOCK], ROW, F.lit(0))
-    ends = rows.groupBy(PATH, BLOCK).agg(F.max_by(F.struct("settled", "after"), ROW).alias("end"))
-    # not settled: the end was found from outside, and from inside it is the other state
-    effect = ends.select(PATH, BLOCK, F.col("end.after").alias("from_outside"), F.when(F.col("end.settled"), F.col("end.after")).otherwise(1 - F.col("end.after")).alias("from_inside"))
+    effect = special.select(PATH, BLOCK, "from_outside", "from_inside").mapInArrow(
+        _block_effects, f"{PATH} string, {BLOCK} bigint, from_outside int, from_inside int")
     return _states(effect, [PATH], BLOCK, F.lit(0)).select(PATH, BLOCK, "before", "after")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The lines of each file block in a batch; a task reads a block's lines one after the other."""
+    if not batch.num_rows:
+        return
+    path, block = batch.column(PATH).dictionary_encode(), batch.column(BLOCK).to_numpy()
+    file = path.indices.to_numpy()
+    new = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
+    for a, b in itertools.pairwise([0, *new.tolist(), batch.num_rows]):
+        yield (path.dictionary[file[a]].as_py(), int(block[a])), batch.slice(a, b - a)
+
+
+def _after(run: pa.RecordBatch, start: int) -> np.ndarray:
+    """The state after each line, as :func:`_states` has it: the last settled state, turned by the exchanges since then."""
+    outside, inside = (run.column(name).to_numpy() for name in ("from_outside", "from_inside"))
+    turns = np.cumsum(outside > inside)
+    settled = np.maximum.accumulate(np.where(outside == inside, np.arange(len(outside)), -1))
+    return np.where(settled >= 0, outside[settled] + turns - turns[settled], start + turns) % 2
+
+
+def _block_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file block: the state its lines lead to from outside, and from inside."""
+    effects: dict[tuple[str, int], tuple[int, int]] = {}
+    for key, run in (found for batch in batches for found in _runs(batch)):
+        states = [int(_after(run, start)[-1]) for start in (OUTSIDE, INSIDE)]
+        before = effects.get(key, (OUTSIDE, INSIDE))
+        effects[key] = states[before[0]], states[before[1]]
+    if effects:
+        columns = zip(*((path, block, *effect) for (path, block), effect in effects.items()), strict=True)
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [PATH, BLOCK, "from_outside", "from_inside"])
+
+
+RECORDS = pa.schema([("line", pa.string()), (FILE, pa.string()), (PATH, pa.string()), (BLOCK, pa.int64()), (ROW, pa.int64()), ("opens", pa.int32())])
+
+
+def _joined_lines(inside: set[tuple[str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Joins the lines of each record of a block, whose state at the start is given by ``inside``.
+
+    ``opens`` is null for a whole record. Of a record that goes on over a block's end there is a
+    piece in each block: 1 for its first, 0 for a further one. A task holds a batch and a record.
+    """
+    def rows(lines, file, key, places, opens=None) -> pa.RecordBatch:
+        n = len(lines)
+        constant = [pa.repeat(pa.scalar(v, t), n) for v, t in ((file, pa.string()), (key[0], pa.string()), (key[1], pa.int64()))]
+        return pa.RecordBatch.from_arrays([lines, *constant, places, pa.repeat(pa.scalar(opens, pa.int32()), n)], schema=RECORDS)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, held = None, OUTSIDE, None  # held: lines, file, place and kind of the record that goes on
+
+        def ended(whole: bool) -> pa.RecordBatch:
+            lines, file, place, opens = held
+            return rows(pa.array(["\n".join(lines)], pa.string()), file, key, pa.array([place], pa.int64()), None if whole and opens else opens)
+
+        for found, run in (found for batch in batches for found in _runs(batch)):
+            if found != key:
+                if held:
+                    yield ended(False)
+                key, state, held = found, int(found in inside), None
+            line, place, file = run.column("line"), run.column(ROW), run.column(FILE)[0].as_py()
+            after = _after(run, state)
+            starts = np.flatnonzero(np.concatenate(([state], after[:-1])) == OUTSIDE)
+            state = int(after[-1])
+            head = int(starts[0]) if len(starts) else run.num_rows
+            if head:  # the rest of the record that goes on; from the block before, if none is held
+                held = held or ([], file, place[0].as_py(), 0)
+                held[0].extend(line.slice(0, head).to_pylist())
+            if held and (len(starts) or state == OUTSIDE):
+                yield ended(True)
+                held = None
+            if len(starts) and state == INSIDE:
+                last = int(starts[-1])
+                held = (line.slice(last).to_pylist(), file, place[last].as_py(), 1)
+                starts, end = starts[:-1], last
+            else:
+                end = run.num_rows
+            if len(starts):
+                lists = pa.ListArray.from_arrays(pa.array([*starts, end], pa.int32()), line)
+                yield rows(pc.binary_join(lists, "\n"), file, key, place.take(pa.array(starts)))
+        if held:
+            yield ended(False)
+
+    return joined
+
+
 def unclosed(spark: SparkSession, headers: Sequence[Header]) -> list[str]:
     """Files that end inside a quoted field."""
     found = []
@@ -210,25 +297,25 @@ def unclosed(spark: SparkSession, headers: Sequence[Header]) -> list[str]:
 def _records(spark: SparkSession, head: Header, paths: Sequence[str]) -> DataFrame:
     """(line, file, path, block, row) of every record; the lines of one that goes on are joined by line feeds.
 
-    Lines are shuffled by file block, and only those of records that go on once more, by record.
+    Lines are joined in the task that reads them, in order; only the pieces of records that go on
+    over a block's end, two a block at most, are brought together.
     """
     lines = _lines(spark, head, paths)
+    ends = _blocks(lines)
     # a block without an effect starts and ends in the state of the blocks before it
-    places = lines.groupBy(PATH, BLOCK).agg(F.count("*").alias("n")).join(_blocks(lines), [PATH, BLOCK], "left")
+    places = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias(BLOCK)).distinct()
     earlier = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = stage(places.select(PATH, BLOCK, F.coalesce(F.last("after", ignorenulls=True).over(earlier), F.lit(0)).alias("start")), "blocks")
-    rows = _states(lines.join(starts, [PATH, BLOCK]), [PATH, BLOCK], ROW, F.col("start"))
-    opens = ((F.col("before") == 0) & (F.col("after") == 1)).cast("int")
-    within = F.sum(opens).over(Window.partitionBy(PATH, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
-    rows = stage(rows.select(FILE, PATH, BLOCK, ROW, "line", "before", "after", within.alias("record")), "lines")
-    counts = rows.groupBy(PATH, BLOCK).agg(F.max("record").alias("n"))
-    counts = counts.select(PATH, BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    single = rows.filter("before = 0 AND after = 0").select("line", FILE, PATH, BLOCK, ROW)
-    parts = rows.filter("before = 1 OR after = 1").join(counts, [PATH, BLOCK])
+    start = F.coalesce(F.last("after", ignorenulls=True).over(earlier), F.lit(0)).alias("start")
+    inside = places.join(ends, [PATH, BLOCK], "left").select(PATH, BLOCK, start).filter("start = 1")
+    begun = {(row[PATH], row[BLOCK]) for row in inside.collect()}  # at most the file blocks
+    rows = stage(lines.mapInArrow(_joined_lines(begun), f"line string, {FILE} string, {PATH} string, {BLOCK} bigint, {ROW} bigint, opens int"), "records")
+    whole = rows.filter("opens IS NULL").drop("opens")
+    so_far = Window.partitionBy(PATH).orderBy(BLOCK, ROW).rowsBetween(Window.unboundedPreceding, 0)
+    pieces = rows.filter("opens IS NOT NULL").withColumn("record", F.sum("opens").over(so_far))
     ordered = F.array_sort(F.collect_list(F.struct(BLOCK, ROW, "line")))
-    joined = parts.groupBy(FILE, PATH, (F.col("record") + F.col("earlier")).alias("record")).agg(ordered.alias("all"))
+    joined = pieces.groupBy(FILE, PATH, "record").agg(ordered.alias("all"))
     text = F.array_join(F.transform("all", lambda part: part["line"]), "\n")
-    return single.union(joined.select(text, FILE, PATH, F.col("all")[0][BLOCK], F.col("all")[0][ROW]))
+    return whole.union(joined.select(text, FILE, PATH, F.col("all")[0][BLOCK], F.col("all")[0][ROW]))
 
 
 def read_rows(spark: SparkSession, headers: Sequence[Header]) -> DataFrame:

@@ -94,3 +94,16 @@ def test_stray_quotes_leave_the_plain_scan(spark, tmp_path):
     headers = D.read_headers(spark, [write(tmp_path, "s.csv", 'id,one\n1,5" pipe\n2,a"b"c\n')])
     assert not headers[0].spans_lines
     assert [r.one for r in D.read_files(spark, headers).orderBy("id").collect()] == ['5" pipe', 'a"b"c']
+
+
+def test_lines_are_joined_without_a_shuffle(spark, tmp_path, small_splits):
+    """Only pieces of records that go on over a block's end are dealt out; here one record covers several blocks."""
+    long = "\n".join(f"part {i} of a long field" for i in range(40))
+    body = "".join(f'{i},"a\n{long if i == 20 else i}",x\n' for i in range(40))
+    path = write(tmp_path, "long.csv", "id,one,two\n" + body)
+    headers = D.read_headers(spark, [path])
+    lines = D._records(spark, headers[0], [path])
+    assert "collect_list" in str(lines._jdf.queryExecution().optimizedPlan())
+    staged = spark.read.parquet(lines.inputFiles()[0].rsplit("/", 1)[0])
+    assert staged.filter("opens IS NULL").count() > 20 and staged.filter("opens = 0").count() > 5
+    assert {r.id: r.one for r in D.read_files(spark, headers).collect()} == {str(i): f"a\n{long if i == 20 else i}" for i in range(40)}
