@@ -495,10 +495,10 @@ def scan_quoted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _yearly_files(daily: DataFrame, folder: str, quantity: str) -> None:
-    """One extract per year."""
+    """Extracts of one year each, a file a month: no task holds a year's rows."""
     (daily.select("year", F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), F.col("modo").alias("tipo_transporte"),
                   F.col("cantidad_usos").cast("string").alias(quantity))
-     .repartition("year").write.partitionBy("year").option("header", True).csv(folder))
+     .repartition("year", F.substring("fecha", 1, 7)).write.partitionBy("year").option("header", True).csv(folder))
 
 
 @query

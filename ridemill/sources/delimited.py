@@ -110,10 +110,12 @@ def profile(spark: SparkSession, paths: str | Sequence[str], separators: Sequenc
     filled = F.trim(value) != ""
     half = {"low": F.col("hash").bitwiseAND(0x7FFFFFFF), "high": F.shiftrightunsigned("hash", 33)}
     wide = "decimal(20,0)"
+    # a set of a few values, with which Spark aggregates by hash: the head alone would have every line sorted
+    seen = F.collect_set(F.array(*(F.coalesce(filled & ends_inside(decoded(value), sep, inside=False), F.lit(False)) for sep in separators)))
     return lines.groupBy("path", "block").agg(
         F.count("*").alias("n"), F.min("row").alias("first"),
         F.min_by(F.when(filled, F.struct(decoded(value).alias("line"), F.is_valid_utf8(value).alias("is_utf8"))), F.when(filled, F.col("row"))).alias("head"),
-        F.array(*(F.bool_or(filled & ends_inside(decoded(value), sep, inside=False)) for sep in separators)).alias("opens"),
+        F.transform(F.lit(list(range(len(separators)))), lambda i: F.exists(seen, lambda some: F.get(some, i))).alias("opens"),
         *[F.sum(h).cast("decimal(38,0)").alias(f"sum_{name}") for name, h in half.items()],
         *[F.sum((h * F.col("row")).cast(wide)).cast("decimal(38,0)").alias(f"placed_{name}") for name, h in half.items()])
 

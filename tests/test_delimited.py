@@ -107,3 +107,9 @@ def test_lines_are_joined_without_a_shuffle(spark, tmp_path, small_splits):
     staged = spark.read.parquet(lines.inputFiles()[0].rsplit("/", 1)[0])
     assert staged.filter("opens IS NULL").count() > 20 and staged.filter("opens = 0").count() > 5
     assert {r.id: r.one for r in D.read_files(spark, headers).collect()} == {str(i): f"a\n{long if i == 20 else i}" for i in range(40)}
+
+
+def test_profile_is_not_sorted(spark, tmp_path):
+    """Head lines and sums are made by hash, so a task's memory does not grow with its lines."""
+    plan = str(D.profile(spark, write(tmp_path, "p.csv", "a,b\n1,2\n"))._jdf.queryExecution().executedPlan())
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
