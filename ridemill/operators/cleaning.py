@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ridemill import schema as S
@@ -14,6 +14,8 @@ from ridemill.sources.delimited import FILE, PATH, position
 
 POSITION = "_position"
 DAILY_KEY = ["fecha", "modo", "nombre_empresa", "linea"]
+MONTH = ["year", "month"]
+PART_ROWS, BUCKETS = 250_000, 256
 
 
 def normalize_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -80,17 +82,47 @@ def flag_outliers(
             .drop("_mean", "_std", *[f"_k{i}" for i in range(len(keys))]))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], by: Sequence[str] = (), part_rows: int = PART_ROWS) -> DataFrame:
     """One row per key, the first by ``order``; NULL keys are equal to each other.
 
-    ``row_number() = 1`` is planned with a group limit on both sides of the shuffle, so a
-    key that holds a large part of all rows sends one row per input partition. The
-    leading hash makes both sorts compare a long instead of several strings.
+    Rows are sorted after the shuffle only, in partitions whose size the shuffle settles: a sort
+    before it takes as much memory as an input split has rows, and spills. Only where counts by
+    hash show a key with a large part of all rows, the rows of its hash are first cut to one per
+    key and input partition, by the group limit that ``row_number() = 1`` is planned with.
+
+    ``by``: columns that follow from the keys, to be written by. The one shuffle then deals each
+    of their values in parts of about ``part_rows`` rows, so that no other is needed for few files.
+    ``df`` is read twice, its keys and ``by`` for the counts.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    counted = df.select(*by, bucket.alias("_bucket")).groupingSets([[*by], ["_bucket"]] if by else [["_bucket"]], *by, "_bucket")
+    counts = counted.agg(F.grouping("_bucket").alias("_whole"), F.count("*").alias("n")).collect()  # a row per bucket and value of ``by``
+    sizes = {row["_bucket"]: row["n"] for row in counts if not row["_whole"]}
+    large = [b for b, n in sizes.items() if n > 16 * sum(sizes.values()) // BUCKETS]
+    rows = df
+    if large:
+        ranked = Window.partitionBy("_hash", *keys).orderBy(*order)
+        some = (df.filter(bucket.isin(large)).withColumn("_hash", F.xxhash64(*keys)).withColumn("_rank", F.row_number().over(ranked))
+                .filter(F.col("_rank") == 1).drop("_hash", "_rank"))
+        rows = df.filter(~bucket.isin(large)).union(some)
+    dealt = [*by, "_part"] if by else []
+    if by:
+        rows = in_parts(rows, keys, by, [row for row in counts if row["_whole"]], part_rows)
+    first = Window.partitionBy(*dealt, "_hash", *keys).orderBy(*order)
+    return (rows.withColumn("_hash", F.xxhash64(*keys))
+            .withColumn("_later", F.lag(F.lit(True)).over(first))
+            .filter(F.col("_later").isNull()).drop("_hash", "_later", "_part"))
+
+
+def in_parts(df: DataFrame, keys: Sequence[str], by: Sequence[str], counts: Sequence[Row], part_rows: int = PART_ROWS) -> DataFrame:
+    """Rows dealt by ``by`` and ``_part``: each value of ``by`` in parts of about ``part_rows`` rows, a key in one of them.
+
+    ``counts``: a row with ``by`` and ``n`` per value.
     """
-    first = Window.partitionBy("_hash", *keys).orderBy(*order)
-    return (df.withColumn("_hash", F.xxhash64(*keys))
-            .withColumn("_rank", F.row_number().over(first))
-            .filter(F.col("_rank") == 1).drop("_hash", "_rank"))
+    sizes = {"-".join(str(row[c]) for c in by if row[c] is not None): row["n"] for row in counts}
+    several = [x for value, n in sizes.items() if n > part_rows for x in (F.lit(value), F.lit(-(-n // part_rows)))]
+    parts = F.coalesce(F.try_element_at(F.create_map(*several), F.concat_ws("-", *by)), F.lit(1)) if several else F.lit(1)
+    return df.withColumn("_part", F.pmod(F.xxhash64(*keys), parts)).repartition(*by, "_part")
 
 
 def with_defaults(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +153,7 @@ def clean_files(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
     keys = [k for k in DAILY_KEY if k in parsed.columns]
     flagged = flag_outliers(parsed, keys=(_file(parsed), "modo")).withColumn(
         "is_suspicious", zero_on_weekday() | F.col("is_outlier")).drop("is_outlier")
-    return keep_first(flagged, [_file(parsed), *keys], order)
+    return keep_first(flagged, [_file(parsed), *keys], order, by=[_file(parsed)])
 
 
 def clean_daily(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -134,4 +166,4 @@ def clean_daily(parsed: DataFrame, order: Sequence[str]) -> DataFrame:
     keys = [k for k in DAILY_KEY if k in parsed.columns]
     flagged = flag_outliers(parsed, keys=(_file(parsed), "modo")).withColumn(
         "is_suspicious", zero_on_weekday() | F.col("is_outlier")).drop("is_outlier")
-    return with_defaults(keep_first(flagged, keys, [*dict.fromkeys([FILE, _file(parsed)]), *order]))
+    return with_defaults(keep_first(flagged, keys, [*dict.fromkeys([FILE, _file(parsed)]), *order], by=MONTH))

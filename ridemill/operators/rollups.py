@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridemill import schema as S
 from ridemill.functions.numeric import month_floor, percent
+from ridemill.operators.cleaning import MONTH, in_parts
 from ridemill.session import stage
 
 
@@ -59,11 +60,15 @@ def month_parts(daily: DataFrame) -> DataFrame:
     """Trusted rows of a month, mode, operator, line and place as sums that all stored rollups share.
 
     ``days`` has a bit for each day of the month: parts merge by OR, and counts of days in
-    different months add up, so no distinct count ever needs the daily rows again.
+    different months add up, so no distinct count ever needs the daily rows again. One shuffle
+    deals the rows by month, as parts are stored; in the fact a part has a row a day at most.
     """
-    return trusted(daily).groupBy("year", "month", "modo", "nombre_empresa", "linea", "provincia", "amba").agg(
+    rows = trusted(daily)
+    keys = ["modo", "nombre_empresa", "linea", "provincia", "amba"]
+    counts = rows.groupBy(*MONTH).agg(F.count("*").alias("n")).collect()  # at most the months of the calendar
+    return in_parts(rows.select(*MONTH, "fecha", *keys, "cantidad_usos"), keys, MONTH, counts).groupBy(*MONTH, "_part", *keys).agg(
         F.sum("cantidad_usos").alias("total"), F.count("*").alias("n"),
-        F.bit_or(F.expr("shiftleft(1, dayofmonth(fecha) - 1)")).alias("days"))
+        F.bit_or(F.expr("shiftleft(1, dayofmonth(fecha) - 1)")).alias("days")).drop("_part")
 
 
 def _days(days: str = "days"):

@@ -110,13 +110,14 @@ class Publication:
         self.entries = list(store.entries())
         self.schemas: dict[str, T.StructType] = {}
 
-    def replace_months(self, table: str, df: DataFrame, touched: Months | None = None) -> None:
+    def replace_months(self, table: str, df: DataFrame, touched: Months | None = None, dealt: bool = False) -> None:
         """Rows of the touched months, all of them; without ``touched`` every month is replaced.
 
-        Rebalancing packs a month's rows into few files and still splits a month too big for one task.
+        Rebalancing packs a month's rows into few files and still splits a month too big for one
+        task. ``dealt``: the rows are dealt by month already, and another shuffle would be in vain.
         """
         path = f"{self.root}/{table}/gen={self.gen}"
-        df.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(path)
+        (df if dealt else df.hint("rebalance", "year", "month")).write.partitionBy("year", "month").parquet(path)
         self.schemas[table] = df.schema
         kept = [e for e in self.entries if e.table != table or (touched is not None and (e.year, e.month) not in touched)]
         self.entries = kept + [Entry(table, self.gen, y, m) for y, m in _months(self.spark, path)]

@@ -67,10 +67,10 @@ class Warehouse:
         """The historical table, or None where it was never loaded."""
         return self.table(HISTORICAL) if self.store.has(HISTORICAL) else None
 
-    def load(self, fact: DataFrame) -> None:
-        """Store the daily fact and rebuild the rollups from it. Safe to repeat."""
+    def load(self, fact: DataFrame, dealt: bool = False) -> None:
+        """Store the daily fact and rebuild the rollups from it. Safe to repeat. ``dealt``: it is dealt by month already."""
         changes = self.store.publish()
-        changes.replace_months(DAILY, fact.select(*S.DAILY.fieldNames()))
+        changes.replace_months(DAILY, fact.select(*S.DAILY.fieldNames()), dealt=dealt)
         publish_rollups(changes, changes.written(DAILY))
         changes.commit()
 
@@ -121,7 +121,7 @@ def publish_rollups(changes: Publication, daily: DataFrame, touched: Months | No
     One scan of those rows makes the months' parts. The rollups are made of the parts of all
     months, which are small beside the fact; the fact's other months are not read.
     """
-    changes.replace_months(PARTS, R.month_parts(daily), touched)
+    changes.replace_months(PARTS, R.month_parts(daily), touched, dealt=True)
     parts = changes.read(PARTS, TABLES[PARTS])
     rollups = {MONTHLY: R.monthly_from_parts, PROVINCE: R.provinces_from_parts, OPERATORS: R.operators_from_parts}
     with ThreadPoolExecutor(len(rollups)) as pool:

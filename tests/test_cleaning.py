@@ -137,6 +137,30 @@ def test_hot_key_is_combined_before_the_shuffle(spark):
     assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
 
 
+def test_rows_are_sorted_after_the_shuffle_only(spark):
+    """No split is sorted as a whole before it is dealt out, where no key stands out."""
+    df = spark.range(2000).selectExpr("id % 1000 AS k", "id AS v", "-id AS pos")
+    out = C.keep_first(df, ["k"], ["pos"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and "Sort" not in plan[plan.index("Exchange"):]
+    assert sorted(r.v for r in out.collect()) == list(range(1000, 2000))
+
+
+def test_months_are_dealt_in_parts_by_one_shuffle(spark, rows):
+    df = spark.range(6000).selectExpr("CAST(2024 + id DIV 100000 AS int) AS year", "CAST(IF(id < 5000, 1, 2) AS int) AS month", "id % 3000 AS k", "id AS v", "NULL AS none")
+    keys = ["year", "month", "k", "none"]
+    out = C.keep_first(df, keys, ["v"], by=C.MONTH, part_rows=1000)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(out, "v") == [(v,) for v in (*range(3000), *range(5000, 6000))]
+    dealt = C.in_parts(df, keys, C.MONTH, df.groupBy(*C.MONTH).agg(F.count("*").alias("n")).collect(), part_rows=1000)
+    assert rows(dealt.select("month", "_part").distinct()) == [*((1, part) for part in range(5)), (2, 0)]
+
+
+def test_hot_key_among_others(spark, rows):
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id AS v").withColumn("year", F.lit(2024))
+    assert rows(C.keep_first(df, ["year", "k"], ["v"], by=["year"]), "k", "v") == [(-1, 0)] + [(i, i) for i in range(3000) if i % 3]
+
+
 @pytest.mark.parametrize("text,expected", [
     ("2024-01-15", "2024-01-15"), ("01/15/2024", "2024-01-15"), ("15/01/2024", "2024-01-15"), ("2024/1/5", "2024-01-05"),
     ("20240115", "2024-01-15"), ("2024-01-15 10:30:00", "2024-01-15"), ("2024-01-15T10:30:00", "2024-01-15"),
