@@ -3,7 +3,9 @@
 import csv
 import io
 import random
+from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,28 @@ def test_profile_is_not_sorted(spark, tmp_path):
     """Head lines and sums are made by hash, so a task's memory does not grow with its lines."""
     plan = str(D.profile(spark, write(tmp_path, "p.csv", "a,b\n1,2\n"))._jdf.queryExecution().executedPlan())
     assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("separator", [",", ";", "¦"])
+def test_effects_of_many_lines_at_once(spark, separator):
+    """The arrays over all quotes give what the column expression gives line by line, also for a line of very many quotes."""
+    rng = random.Random(5)
+    parts = ['"', '""', separator, "x", "ñ", f'{separator}"', f'"{separator}', "long text"]
+    lines = [None, "", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400)), *("".join(rng.choices(parts, k=k)) for k in (300, 301, 999))]
+    df = spark.createDataFrame([(i, line or "") for i, line in enumerate(lines)], "i int, line string")
+    want = df.orderBy("i").select(D.ends_inside(F.col("line"), separator, False), D.ends_inside(F.col("line"), separator, True)).collect()
+    for array in (pa.array(lines), pa.array(["before", *lines])[1:], pa.array(lines, pa.large_string())):
+        outside, inside = D.line_effects(array, separator)
+        assert [(bool(a), bool(b)) for a, b in zip(outside, inside, strict=True)] == [tuple(r) for r in want]
+
+
+def test_quotes_are_looked_at_in_one_scan(spark, tmp_path, small_splits, monkeypatch):
+    """The scan that finds whether records span lines also says in which state each block begins; no column expression walks over quotes."""
+    path = write(tmp_path, "a.csv", made(4, ","))
+    scans = []
+    monkeypatch.setattr(D, "scan_quotes", lambda *args, f=D.scan_quotes: (scans.append(args[2]), f(*args))[1])
+    monkeypatch.setattr(D, "ends_inside", None)
+    headers = D.read_headers(spark, [path])
+    assert D.read_files(spark, headers).count() == 120 and scans == [[headers[0].path]]
+    with pytest.raises(Exception, match="is not split as it was"):
+        D._records(spark, replace(headers[0], scan=replace(headers[0].scan, starts={(headers[0].path, 0): 0})), [headers[0].path])
